@@ -50,8 +50,8 @@ def round_even(col: Column, digits: int) -> Column:
 
 
 def fixed(col: Column, digits: int) -> Column:
-    """Plain fixed-point text."""
-    return F.format_string(f"%.{digits}f", round_even(col, digits))
+    """Plain fixed-point text; null for null."""
+    return F.when(col.isNotNull(), F.format_string(f"%.{digits}f", round_even(col, digits)))
 
 
 def usd(col: Column) -> Column:

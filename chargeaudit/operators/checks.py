@@ -113,20 +113,21 @@ def _good_number(item: Column, name: str) -> Column:
     return _is_absent(item, name) | F.coalesce(number >= 0, F.lit(False))
 
 
-def parse_findings(reports: DataFrame, json_col: str = "report", key: str = "bill_id") -> DataFrame:
-    """Valid findings of reported JSON documents, one row each.
+def _items(json_col: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(F.col(json_col)), "$.anomalies", "array<variant>")
+
+
+def _quantity(item: Column) -> Column:
+    given = F.floor(_number(item, "quantity")).cast("double")
+    return F.when(_type_of(item, "quantity").isNull(), F.lit(1.0)).otherwise(given)
+
 
-    A finding with a missing or ill-typed field is dropped and the others of
-    the report are kept. Text fields must be text: a number is not converted.
+def is_valid_finding(item: Column) -> Column:
+    """All required fields there, every field of its type and in its range.
+
+    Text fields must be text: a number is not converted.
     """
-    items = reports.select(
-        key, F.expr(f"posexplode(try_variant_get(try_parse_json({json_col}), '$.anomalies', 'array<variant>'))")
-    ).toDF(key, "item_no", "item")
-    item = F.col("item")
-    quantity = F.when(
-        _type_of(item, "quantity").isNull(), F.lit(1.0)
-    ).otherwise(F.floor(_number(item, "quantity")).cast("double"))
-    valid = (
+    return (
         _is_text(item, "description")
         & _is_text(item, "explanation")
         & _is_text(item, "suggested_action")
@@ -134,17 +135,26 @@ def parse_findings(reports: DataFrame, json_col: str = "report", key: str = "bil
         & F.coalesce(_field(item, "severity", "string").isin(*c.SEVERITIES), F.lit(False))
         & (_is_absent(item, "code") | _is_text(item, "code"))
         & (_is_absent(item, "service_date") | _is_text(item, "service_date"))
-        & F.coalesce(quantity >= 1, F.lit(False))
+        & F.coalesce(_quantity(item) >= 1, F.lit(False))
         & _good_number(item, "billed_amount")
         & _good_number(item, "medicare_reference_price")
         & _good_number(item, "overcharge_ratio")
     )
-    return items.where(valid).select(
+
+
+def parse_findings(reports: DataFrame, json_col: str = "report", key: str = "bill_id") -> DataFrame:
+    """Valid findings of reported JSON documents, one row each.
+
+    A malformed finding is dropped and the others of the report are kept.
+    """
+    items = reports.select(key, F.posexplode(_items(json_col)).alias("item_no", "item"))
+    item = F.col("item")
+    return items.where(is_valid_finding(item)).select(
         key,
         "item_no",
         _field(item, "code", "string").alias("code"),
         _field(item, "description", "string").alias("description"),
-        quantity.cast("int").alias("quantity"),
+        _quantity(item).cast("int").alias("quantity"),
         _number(item, "billed_amount").alias("billed_amount"),
         _field(item, "service_date", "string").alias("service_date"),
         _field(item, "anomaly_type", "string").alias("anomaly_type"),
@@ -158,20 +168,11 @@ def parse_findings(reports: DataFrame, json_col: str = "report", key: str = "bil
 
 def finding_stats(reports: DataFrame, json_col: str = "report", key: str = "bill_id") -> DataFrame:
     """Per report: line items, findings reported, valid and skipped."""
-    parsed = F.try_parse_json(F.col(json_col))
-    reported = F.coalesce(
-        F.size(F.try_variant_get(parsed, "$.anomalies", "array<variant>")), F.lit(0)
-    )
-    valid = parse_findings(reports, json_col, key).groupBy(key).agg(F.count("*").alias("n_valid"))
-    return (
-        reports.select(
-            key,
-            F.coalesce(F.try_variant_get(parsed, "$.total_line_items", "bigint"), F.lit(0)).alias(
-                "total_line_items"
-            ),
-            F.greatest(reported, F.lit(0)).cast("bigint").alias("n_reported"),
-        )
-        .join(valid, key, "left")
-        .withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
-        .withColumn("n_skipped", F.col("n_reported") - F.col("n_valid"))
-    )
+    items = F.coalesce(_items(json_col), F.array().cast("array<variant>"))
+    lines = F.try_variant_get(F.try_parse_json(F.col(json_col)), "$.total_line_items", "bigint")
+    return reports.select(
+        key,
+        F.coalesce(lines, F.lit(0)).alias("total_line_items"),
+        F.size(items).cast("bigint").alias("n_reported"),
+        F.size(F.filter(items, is_valid_finding)).cast("bigint").alias("n_valid"),
+    ).withColumn("n_skipped", F.col("n_reported") - F.col("n_valid"))

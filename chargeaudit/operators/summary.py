@@ -90,7 +90,7 @@ def subject_lines(findings: DataFrame) -> DataFrame:
     return dominant_type(findings).withColumn("subject_line", subject)
 
 
-def anomaly_codes(findings: DataFrame) -> DataFrame:
+def anomaly_codes(findings: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Distinct codes of the findings of a bill, numbered as first seen."""
     first = (
         with_ranks(findings)
@@ -98,6 +98,6 @@ def anomaly_codes(findings: DataFrame) -> DataFrame:
         .groupBy("bill_id", "code")
         .agg(F.min(F.struct("severity_rank", "line_no", "type_rank")).alias("_first"))
     )
-    return number_rows(first, "bill_id", ["_first", "code"], "position").select(
+    return number_rows(first, "bill_id", ["_first", "code"], "position", sizes).select(
         "bill_id", "code", "position"
     )
