@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chargeaudit.functions.text import normalise_code
+from chargeaudit.session import broadcast_if_small
 
 RECORD = (
     "long_description",
@@ -19,12 +20,11 @@ RECORD = (
 def lookup_codes(codes: DataFrame, catalog: DataFrame, how: str = "left") -> DataFrame:
     """Every row of ``codes`` with its catalog record and a ``found`` flag.
 
-    ``how="inner"`` keeps found codes only. The join carries no hint: the
-    catalog is broadcast if its measured size allows it, otherwise a hot code
-    is split by the adaptive skew join.
+    ``how="inner"`` keeps found codes only. The catalog is broadcast if its
+    measured size allows it, otherwise the adaptive join splits hot codes.
     """
-    record = catalog.select(
-        F.col("code").alias("_key"), *RECORD, F.lit(True).alias("found")
+    record = broadcast_if_small(
+        catalog.select(F.col("code").alias("_key"), *RECORD, F.lit(True).alias("found"))
     )
     return (
         codes.withColumn("code", normalise_code(F.col("code")))
@@ -39,7 +39,8 @@ def unknown_codes(codes: DataFrame, catalog: DataFrame) -> DataFrame:
     wanted = codes.select("bill_id", normalise_code(F.col("code")).alias("code")).where(
         "code is not null"
     )
-    return wanted.distinct().join(catalog.select("code"), "code", "left_anti").select("bill_id", "code")
+    known = broadcast_if_small(catalog.select("code"))
+    return wanted.distinct().join(known, "code", "left_anti").select("bill_id", "code")
 
 
 def lookup_coverage(codes: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -47,9 +48,8 @@ def lookup_coverage(codes: DataFrame, catalog: DataFrame) -> DataFrame:
     wanted = codes.select("bill_id", normalise_code(F.col("code")).alias("code")).where(
         "code is not null"
     )
-    found = wanted.distinct().join(
-        catalog.select("code", F.lit(1).alias("_hit")), "code", "left"
-    )
+    known = broadcast_if_small(catalog.select("code", F.lit(1).alias("_hit")))
+    found = wanted.distinct().join(known, "code", "left")
     return found.groupBy("bill_id").agg(
         F.count("*").alias("n_codes"),
         F.count("_hit").alias("n_found"),

@@ -2,8 +2,9 @@
 
 ``bill_id, line_no, code, description, quantity, billed_amount, service_date``
 
-``line_no`` orders the lines of a bill. Every rule returns findings with the
-columns of ``FINDING``; rules on different evidence are joined by union.
+``line_no`` orders the lines of a bill. ``code`` is trimmed and upper-case, or
+null (see ``with_clean_codes``). Every rule returns findings with the columns of
+``FINDING``; rules on different evidence are joined by union.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from chargeaudit.functions.text import (
     type_rank,
 )
 from chargeaudit.operators.numbering import number_rows
+from chargeaudit.session import broadcast_if_small, staged_if_small
 
 LINE = (
     "bill_id",
@@ -43,7 +45,7 @@ FINDING = (
 )
 
 
-def _finding(
+def finding_columns(
     kind: str,
     severity: Column | str,
     price: Column | None = None,
@@ -68,6 +70,11 @@ def _line(lines: DataFrame) -> list[Column]:
     return [F.col(name) for name in LINE]
 
 
+def with_clean_codes(lines: DataFrame) -> DataFrame:
+    """Lines as read from a bill, made fit for the rules."""
+    return lines.withColumn("code", normalise_code(F.col("code")))
+
+
 def overcharge_severity(ratio: Column) -> Column:
     return (
         F.when(ratio > c.HIGH_RATIO, "high")
@@ -85,17 +92,19 @@ def price_and_code_findings(
     left join answers both rules. The charge is compared as billed; with
     ``per_unit`` it is divided by the quantity first.
     """
-    prices = catalog.select(
-        F.col("code").alias("_key"),
-        F.when(F.col("has_price_data"), F.col("medicare_reference_price")).alias("_price"),
+    prices = broadcast_if_small(
+        catalog.select(
+            F.col("code").alias("_key"),
+            F.when(F.col("has_price_data"), F.col("medicare_reference_price")).alias("_price"),
+        )
     )
     billed = F.col("billed_amount")
     if per_unit:
         billed = billed / F.col("quantity")
     ratio = F.try_divide(billed, F.col("_price"))
     judged = (
-        lines.where(normalise_code(F.col("code")).isNotNull())
-        .join(prices, normalise_code(F.col("code")) == F.col("_key"), "left")
+        lines.where("code is not null")
+        .join(prices, F.col("code") == F.col("_key"), "left")
         .withColumn("_ratio", ratio)
         .withColumn(
             "_severity",
@@ -125,11 +134,11 @@ def price_overcharges(lines: DataFrame, catalog: DataFrame, per_unit: bool = Fal
 
 def unknown_code_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """Coded lines whose code the catalog does not hold."""
-    known = catalog.select(F.col("code").alias("_key"))
+    known = broadcast_if_small(catalog.select(F.col("code").alias("_key")))
     return (
-        lines.where(normalise_code(F.col("code")).isNotNull())
-        .join(known, normalise_code(F.col("code")) == F.col("_key"), "left_anti")
-        .select(*_line(lines), *_finding("unknown_code", c.UNKNOWN_CODE_SEVERITY))
+        lines.where("code is not null")
+        .join(known, F.col("code") == F.col("_key"), "left_anti")
+        .select(*_line(lines), *finding_columns("unknown_code", c.UNKNOWN_CODE_SEVERITY))
     )
 
 
@@ -145,24 +154,24 @@ def duplicate_charges(
     Work is on one row per (key, day), so a hot key costs one window over its
     days and not over its lines.
     """
-    dated = lines.withColumn("_day", parse_service_date(F.col("service_date"))).where(
-        F.col("_day").isNotNull()
-    )
+    dated = lines.withColumn("_day", parse_service_date(F.col("service_date")))
     for key in keys:
         dated = dated.where(F.col(key).isNotNull())
-    first = F.struct("bill_id", "line_no")
-    days = dated.groupBy(*keys, "_day").agg(F.count("*").alias("_n"), F.min(first).alias("_first"))
+    # Lines of one bill are ordered by their number alone, which keeps the
+    # aggregation on plain numbers.
+    place = F.col("line_no") if "bill_id" in keys else F.struct("bill_id", "line_no")
+    days = dated.groupBy(*keys, "_day").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
     by_day = Window.partitionBy(*keys).orderBy("_day")
     repeats = days.withColumn("_previous", F.lag("_day").over(by_day)).withColumn(
         "_near", F.coalesce(F.datediff("_day", "_previous") <= max_gap_days, F.lit(False))
-    ).where((F.col("_n") > 1) | F.col("_near"))
+    ).where(F.col("_day").isNotNull() & ((F.col("_n") > 1) | F.col("_near")))
     return (
-        dated.join(repeats, [*keys, "_day"])
-        .withColumn("_later", F.struct("bill_id", "line_no") > F.col("_first"))
+        dated.join(staged_if_small(repeats), [*keys, "_day"])
+        .withColumn("_later", place > F.col("_first"))
         .where(F.col("_later") | F.col("_near"))
         .select(
             *_line(lines),
-            *_finding(
+            *finding_columns(
                 "duplicate_charge",
                 F.when(F.col("_later"), c.SAME_DAY_DUPLICATE_SEVERITY).otherwise(
                     c.ADJACENT_DUPLICATE_SEVERITY
@@ -195,11 +204,7 @@ def unbundled_pairs(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     the code. Distinct codes are matched through the pair table, so no bill is
     joined with itself line by line.
     """
-    codes = (
-        lines.select("bill_id", normalise_code(F.col("code")).alias("code"))
-        .where("code is not null")
-        .distinct()
-    )
+    codes = lines.select("bill_id", "code").where("code is not null").distinct()
     expected = codes.join(pairs.select("code", "component_code").distinct(), "code")
     present = codes.withColumnRenamed("code", "component_code")
     return expected.join(present, ["bill_id", "component_code"]).select(
@@ -214,22 +219,22 @@ def unbundled_lines(lines: DataFrame, pairs: DataFrame) -> DataFrame:
         .groupBy("bill_id", F.col("component_code").alias("_component"))
         .agg(F.min("code").alias("_whole"))
     )
-    coded = lines.withColumn("_component", normalise_code(F.col("code")))
-    return coded.join(inside, ["bill_id", "_component"]).select(
-        *_line(lines), *_finding("unbundling", c.UNBUNDLING_SEVERITY, related=F.col("_whole"))
+    coded = lines.withColumn("_component", F.col("code"))
+    return coded.join(staged_if_small(inside), ["bill_id", "_component"]).select(
+        *_line(lines), *finding_columns("unbundling", c.UNBUNDLING_SEVERITY, related=F.col("_whole"))
     )
 
 
 def summary_bill_lines(lines: DataFrame) -> DataFrame:
     """Lines of bills that carry no code at all: ask for an itemised bill."""
-    coded = normalise_code(F.col("code")).isNotNull()
+    coded = F.col("code").isNotNull()
     itemised = lines.where(coded).select("bill_id").distinct()
     return (
         lines.where(~coded)
         .join(itemised, "bill_id", "left_anti")
         .select(
             *_line(lines),
-            *_finding("unknown_code", c.SUMMARY_BILL_SEVERITY, related=F.lit("summary bill")),
+            *finding_columns("unknown_code", c.SUMMARY_BILL_SEVERITY, related=F.lit("summary bill")),
         )
     )
 
@@ -242,7 +247,7 @@ def uncoded_lines(
     ``best_matches(description, code, similarity_score)`` holds the best match
     of every description.
     """
-    coded = normalise_code(F.col("code")).isNotNull()
+    coded = F.col("code").isNotNull()
     itemised = lines.where(coded).select("bill_id").distinct()
     close = (
         best_matches.where(F.col("similarity_score") >= min_score).select("description").distinct()
@@ -251,7 +256,7 @@ def uncoded_lines(
         lines.where(~coded)
         .join(itemised, "bill_id", "left_semi")
         .join(close, "description", "left_anti")
-        .select(*_line(lines), *_finding("unknown_code", c.UNCODED_LINE_SEVERITY))
+        .select(*_line(lines), *finding_columns("unknown_code", c.UNCODED_LINE_SEVERITY))
     )
 
 
@@ -260,6 +265,10 @@ def union_findings(*findings: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), (f.select(*FINDING) for f in findings))
 
 
+def _say(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(part) if isinstance(part, str) else part for part in parts])
+
+
 def with_explanations(findings: DataFrame) -> DataFrame:
     """Explanation and suggested action, worded from the finding's own facts."""
     code = F.coalesce("code", F.lit("(none)"))
@@ -269,62 +278,56 @@ def with_explanations(findings: DataFrame) -> DataFrame:
     no_code = F.col("code").isNull()
     summary_bill = F.coalesce(F.col("related") == "summary bill", F.lit(False))
 
+    related = F.col("related")
+
     # The sentences with placeholders follow the published wording.
     explanation = (
         F.when(
             kind == "price_overcharge",
-            F.format_string(
-                "Code %s was billed at %s, which is %sx the Medicare reference rate of $%s.",
-                code,
-                billed,
-                fixed(F.col("overcharge_ratio"), 1),
-                fixed(F.col("medicare_reference_price"), 2),
+            _say(
+                "Code ", code, " was billed at ", billed, ", which is ",
+                fixed(F.col("overcharge_ratio"), 1), "x the Medicare reference rate of $",
+                fixed(F.col("medicare_reference_price"), 2), ".",
             ),
         )
         .when(
             kind == "duplicate_charge",
-            F.format_string(
-                "Code %s was billed for %s on %s and had already been billed on %s.",
-                code, billed, date, F.col("related"),
-            ),
+            _say("Code ", code, " was billed for ", billed, " on ", date, " and had already been billed on ", related, "."),
         )
         .when(
             kind == "unbundling",
-            F.format_string(
-                "Code %s was billed separately for %s although it is part of code %s on the same bill.",
-                code, billed, F.col("related"),
+            _say(
+                "Code ", code, " was billed separately for ", billed,
+                " although it is part of code ", related, " on the same bill.",
             ),
         )
         .when(
             kind == "upcoding",
-            F.format_string(
-                "Code %s was billed for %s, but the description fits the cheaper code %s better.",
-                code, billed, F.col("related"),
+            _say(
+                "Code ", code, " was billed for ", billed,
+                ", but the description fits the cheaper code ", related, " better.",
             ),
         )
         .when(
             summary_bill,
-            F.format_string("This line was billed for %s on a summary bill without procedure codes.", billed),
+            _say("This line was billed for ", billed, " on a summary bill without procedure codes."),
         )
         .when(
             no_code,
-            F.format_string("This line was billed for %s without a code and matches no known procedure.", billed),
+            _say("This line was billed for ", billed, " without a code and matches no known procedure."),
         )
-        .otherwise(F.format_string("Code %s was billed for %s but is not in the code list.", code, billed))
+        .otherwise(_say("Code ", code, " was billed for ", billed, " but is not in the code list."))
     )
     action = (
         F.when(
             kind == "duplicate_charge",
-            F.format_string(
-                "Ask your provider why code %s appears twice on dates %s and %s.",
-                code, F.col("related"), date,
-            ),
+            _say("Ask your provider why code ", code, " appears twice on dates ", related, " and ", date, "."),
         )
         .when(
             kind == "unbundling",
-            F.format_string(
-                "Contact your insurance company to confirm this code should not be bundled with %s.",
-                F.col("related"),
+            _say(
+                "Contact your insurance company to confirm this code should not be bundled with ",
+                related, ".",
             ),
         )
         .when(
@@ -332,9 +335,7 @@ def with_explanations(findings: DataFrame) -> DataFrame:
             F.lit("Request a full itemized bill with procedure codes before disputing this charge."),
         )
         .otherwise(
-            F.format_string(
-                "Request an itemized bill and ask your provider to explain the charge for code %s.", code
-            )
+            _say("Request an itemized bill and ask your provider to explain the charge for code ", code, ".")
         )
     )
     return findings.withColumn("explanation", explanation).withColumn("suggested_action", action)

@@ -25,10 +25,11 @@ from pyspark.sql import types as T
 
 from chargeaudit import constants as c
 from chargeaudit.functions.text import is_blank, normalise_code, ws_trim
-from chargeaudit.functions.vectors import cosine, norm, score
+from chargeaudit.functions.vectors import cosine, score
 from chargeaudit.operators.lookup import RECORD
 from chargeaudit.operators.numbering import top_per_key
-from chargeaudit.operators.rules import FINDING, LINE, _finding
+from chargeaudit.operators.rules import FINDING, LINE, finding_columns
+from chargeaudit.session import materialise
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -38,38 +39,49 @@ QUERY_BLOCK_ROWS = 65_536
 TIE_DIGITS = 9
 
 
+def word_embedder(texts: DataFrame, text_col: str, dims: int = 256) -> Callable[[DataFrame, str, str], DataFrame]:
+    """A function that adds unit vectors, fitted once on ``texts``.
+
+    Words are hashed into ``dims`` buckets and weighted by how rare they are in
+    ``texts``. Returns ``embed(df, text_col, out_col)``.
+    """
+    stages = [
+        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[\p{L}\p{N}]+", gaps=False),
+        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dims),
+        IDF(inputCol="_counts", outputCol="_weights"),
+        Normalizer(inputCol="_weights", outputCol="_unit"),
+    ]
+
+    def filled(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(""))
+
+    model = Pipeline(stages=stages).fit(texts.select(filled(text_col).alias("_text")))
+
+    def embed(df: DataFrame, column: str, out_col: str = "embedding") -> DataFrame:
+        return (
+            model.transform(df.withColumn("_text", filled(column)))
+            .withColumn(out_col, vector_to_array("_unit", "float32"))
+            .drop("_text", "_words", "_counts", "_weights", "_unit")
+        )
+
+    return embed
+
+
 def embed_text(
     df: DataFrame,
     text_col: str,
     out_col: str = "embedding",
     embedder: Embedder | None = None,
     dims: int = 256,
-    fit_on: DataFrame | None = None,
 ) -> DataFrame:
     """Add a unit vector for the text.
 
-    Without an ``embedder``, words are hashed into ``dims`` buckets and weighted
-    by how rare they are in ``fit_on`` (default: the texts themselves). An
-    embedder takes a list of texts and returns one row per text.
+    By default the hashed words of the text, weighted over ``df`` itself. An
+    ``embedder`` takes a list of texts and returns one vector per text.
     """
     if embedder is not None:
         return _embed_with(df, text_col, out_col, embedder)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    pipeline = Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[\p{L}\p{N}]+", gaps=False),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dims),
-            IDF(inputCol="_counts", outputCol="_weights"),
-            Normalizer(inputCol="_weights", outputCol="_unit"),
-        ]
-    )
-    base = df if fit_on is None else fit_on
-    model = pipeline.fit(base.select(text.alias("_text")))
-    return (
-        model.transform(df.withColumn("_text", text))
-        .withColumn(out_col, vector_to_array("_unit", "float32"))
-        .drop("_text", "_words", "_counts", "_weights", "_unit")
-    )
+    return word_embedder(df, text_col, dims)(df, text_col, out_col)
 
 
 def _embed_with(df: DataFrame, text_col: str, out_col: str, embedder: Embedder) -> DataFrame:
@@ -84,28 +96,26 @@ def _embed_with(df: DataFrame, text_col: str, out_col: str, embedder: Embedder)
     return df.mapInPandas(run, schema)
 
 
-def _unit(vector: Column) -> Column:
-    size = norm(vector)
-    return F.transform(vector, lambda x: x.cast("double") / size)
-
-
 def _vectors(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
-    """(name, unit vector); rows without a direction match nothing and go."""
-    return (
-        df.select(F.col(key).alias(name), F.col(vector).alias("_raw"))
-        .where(F.col("_raw").isNotNull())
-        .where(norm(F.col("_raw")) > 0)
-        .select(name, _unit(F.col("_raw")).alias("unit"))
+    """(name, vector); rows without a direction match nothing and go."""
+    return df.select(F.col(key).alias(name), F.col(vector).alias("vector")).where(
+        F.exists("vector", lambda x: x != 0)
     )
 
 
-def _matcher(k: int, digits: int = TIE_DIGITS, rows: int = 1024):
-    """The block kernel: best ``k`` codes for every query of a block."""
+def _kernels(k: int, digits: int = TIE_DIGITS, rows: int = 1024):
+    """What runs inside a task: (stack vectors, match a block).
 
-    def match(ids: np.ndarray, queries: np.ndarray, codes: np.ndarray, units: np.ndarray) -> pd.DataFrame:
-        import numpy as np
-        import pandas as pd
+    Local functions, so that the workers get them along with the task.
+    """
 
+    def stack(vectors: pd.Series) -> np.ndarray:
+        """Rows of unit length."""
+        matrix = np.stack(vectors.to_numpy()).astype("float64")
+        return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+    def match(ids: np.ndarray, queries: np.ndarray, codes: np.ndarray, units: np.ndarray) -> pd.DataFrame:
+        """The best ``k`` codes of every query of a block."""
         keep = min(k, len(codes))
         found = []
         for start in range(0, len(ids), rows):
@@ -122,23 +132,19 @@ def _matcher(k: int, digits: int = TIE_DIGITS, rows: int = 1024):
         )
         return best.groupby("query_id", sort=False).head(keep)
 
-    return match
+    return stack, match
 
 
 def _search_one_block(queries: DataFrame, codes: pd.DataFrame, k: int, schema: T.StructType) -> DataFrame:
     """Catalog of at most one block: it travels with the tasks."""
+    stack, match = _kernels(k)
     names = codes["code"].to_numpy()
-    units = np.stack(codes["unit"].to_numpy())
-    match = _matcher(k)
+    units = stack(codes["vector"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for batch in batches:
             if len(batch):
-                yield match(
-                    batch["query_id"].to_numpy(), np.stack(batch["unit"].to_numpy()), names, units
-                )
+                yield match(batch["query_id"].to_numpy(), stack(batch["vector"]), names, units)
 
     return queries.mapInPandas(run, schema)
 
@@ -152,26 +158,25 @@ def _search_cells(
     block_rows: int,
 ) -> DataFrame:
     """Catalog of any size: cells around pivots, visited as the bounds demand."""
+    stack, match = _kernels(k)
     n_pivots = min(MAX_PIVOTS, 2 * math.ceil(n_codes / block_rows))
     pivot_rows = codes.orderBy(F.xxhash64("code"), "code").limit(n_pivots).toPandas()
-    pivots = np.stack(pivot_rows["unit"].to_numpy())
+    pivots = stack(pivot_rows["vector"])
 
     cell_schema = T.StructType(
         [
             codes.schema["code"],
-            codes.schema["unit"],
+            codes.schema["vector"],
             T.StructField("cell", T.IntegerType()),
             T.StructField("far", T.DoubleType()),
         ]
     )
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for batch in batches:
             if not len(batch):
                 continue
-            sims = np.stack(batch["unit"].to_numpy()) @ pivots.T
+            sims = stack(batch["vector"]) @ pivots.T
             best = sims.argmax(axis=1)
             gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * sims[np.arange(len(batch)), best]))
             yield batch.assign(cell=best.astype("int32"), far=gap)
@@ -200,18 +205,16 @@ def _search_cells(
     visit_schema = T.StructType(
         [
             queries.schema["query_id"],
-            queries.schema["unit"],
+            queries.schema["vector"],
             T.StructField("cells", T.ArrayType(T.IntegerType())),
         ]
     )
 
     def plan_visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
         for batch in batches:
             if not len(batch):
                 continue
-            sims = np.stack(batch["unit"].to_numpy()) @ centres.T
+            sims = stack(batch["vector"]) @ centres.T
             gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * sims))
             # The k nearest codes are no farther than the k-th smallest bound.
             bound = (gap[:, :, None] + near[None, :, :]).reshape(len(batch), -1)
@@ -229,7 +232,7 @@ def _search_cells(
     query_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK_ROWS))
     left = (
         queries.mapInPandas(plan_visits, visit_schema)
-        .select("query_id", "unit", F.explode("cells").alias("cell"))
+        .select("query_id", "vector", F.explode("cells").alias("cell"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), block_count - 1)))
         .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
     )
@@ -238,19 +241,15 @@ def _search_cells(
         .withColumn("block", F.pmod(F.xxhash64("code"), block_count).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     )
-    match = _matcher(k)
 
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        import pandas as pd
-
         if not len(mine) or not len(theirs):
             return pd.DataFrame({"query_id": [], "code": [], "similarity": []})
         return match(
             mine["query_id"].to_numpy(),
-            np.stack(mine["unit"].to_numpy()),
+            stack(mine["vector"]),
             theirs["code"].to_numpy(),
-            np.stack(theirs["unit"].to_numpy()),
+            stack(theirs["vector"]),
         )
 
     group = ["cell", "block", "part"]
@@ -277,7 +276,7 @@ def search_similar(
     wanted = _vectors(queries, query_key, query_vector, "query_id")
     # Of several codes with the very same vector only the first k can be found.
     known = top_per_key(
-        _vectors(catalog, catalog_key, catalog_vector, "code"), ["unit"], ["code"], k, "_copy"
+        _vectors(catalog, catalog_key, catalog_vector, "code"), ["vector"], ["code"], k, "_copy"
     ).drop("_copy")
     schema = T.StructType(
         [
@@ -292,6 +291,8 @@ def search_similar(
     elif len(head) <= block_rows:
         found = _search_one_block(wanted, head, k, schema)
     else:
+        # Both sides are read several times from here on.
+        wanted, known = materialise(wanted), materialise(known)
         found = _search_cells(wanted, known, known.count(), k, schema, block_rows)
     ranked = top_per_key(found, ["query_id"], [F.desc("similarity"), "code"], k, "rank")
     return ranked.select("query_id", "code", score(F.col("similarity")).alias("similarity_score"), "rank")
@@ -306,20 +307,21 @@ def best_matches(
     descriptions: DataFrame,
     catalog: DataFrame,
     text_col: str = "description",
-    embed: Callable[[DataFrame, str], DataFrame] | None = None,
+    embed: Callable[[DataFrame, str, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Best match of every distinct description: ``description, code, similarity_score``.
 
-    ``embed(df, column)`` adds the vector; by default both sides are embedded
-    with the hashed words of the catalog's search documents.
+    ``embed(df, text_col, out_col)`` adds the vector; by default both sides are
+    embedded by the words of the catalog's search documents.
     """
-    embed = embed or (lambda df, col: embed_text(df, col, fit_on=catalog.select(F.col("document").alias(col))))
+    embed = embed or word_embedder(catalog, "document")
     wanted = descriptions.select(text_col).where(~is_blank(F.col(text_col))).distinct()
-    queries = embed(wanted, text_col)
-    known = embed(catalog.select("code", F.col("document").alias(text_col)), text_col)
-    return search_similar(queries, known, k=1, query_key=text_col).select(
-        F.col("query_id").alias(text_col), "code", "similarity_score"
-    )
+    return search_similar(
+        embed(wanted, text_col, "embedding"),
+        embed(catalog.select("code", "document"), "document", "embedding"),
+        k=1,
+        query_key=text_col,
+    ).select(F.col("query_id").alias(text_col), "code", "similarity_score")
 
 
 def resolve_lines(lines: DataFrame, catalog: DataFrame, matches: DataFrame) -> DataFrame:
@@ -426,7 +428,7 @@ def upcoded_lines(
         coded.join(fits, ["_code", "text_id"])
         .select(
             *[F.col(name) for name in LINE],
-            *_finding("upcoding", c.UPCODING_SEVERITY, price=F.col("price"), related=F.col("other_code")),
+            *finding_columns("upcoding", c.UPCODING_SEVERITY, price=F.col("price"), related=F.col("other_code")),
         )
         .select(*FINDING)
     )

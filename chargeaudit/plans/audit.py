@@ -14,7 +14,7 @@ from chargeaudit.operators.extract import candidate_codes, with_text_status
 from chargeaudit.operators.lookup import lookup_codes
 from chargeaudit.operators.redact import redact, with_gate
 from chargeaudit.operators.report import letters, to_documents
-from chargeaudit.operators.rules import detect_anomalies
+from chargeaudit.operators.rules import detect_anomalies, with_clean_codes
 from chargeaudit.operators.summary import bill_summary
 from chargeaudit.session import materialise
 
@@ -79,7 +79,7 @@ def audit_bills(
     routed = route_bills(bills, profile, redacted)
     accepted = routed.where("status = 'ok'")
     lookups = lookup_codes(candidate_codes(accepted), catalog)
-    audited = lines.join(accepted.select("bill_id").distinct(), "bill_id", "left_semi")
+    audited = with_clean_codes(lines).join(accepted.select("bill_id").distinct(), "bill_id", "left_semi")
     findings = materialise(detect_anomalies(audited, catalog, pairs))
     summary = bill_summary(findings, audited)
     letter_rows = letters(findings, sizes=audited)

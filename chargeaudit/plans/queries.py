@@ -57,7 +57,7 @@ def _flat(df: DataFrame) -> DataFrame:
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.detect_anomalies(
         t.charge_lines(spark, sf_dir),
-        t.catalog(spark, sf_dir),
+        t.published_catalog(spark, sf_dir),
         t.bundling_pairs(spark, sf_dir),
         per_unit=True,
     )
@@ -136,19 +136,19 @@ def stored_documents(spark, sf_dir):
 
 @query
 def exact_lookup(spark, sf_dir):
-    return lookup.lookup_codes(t.charge_lines(spark, sf_dir), t.catalog(spark, sf_dir)).select(
+    return lookup.lookup_codes(t.charge_lines(spark, sf_dir), t.published_catalog(spark, sf_dir)).select(
         "bill_id", "line_no", "code", "found", "long_description", "medicare_reference_price", "has_price_data"
     )
 
 
 @query
 def unknown_codes(spark, sf_dir):
-    return lookup.unknown_codes(t.charge_lines(spark, sf_dir), t.catalog(spark, sf_dir))
+    return lookup.unknown_codes(t.charge_lines(spark, sf_dir), t.published_catalog(spark, sf_dir))
 
 
 @query
 def lookup_coverage(spark, sf_dir):
-    return lookup.lookup_coverage(t.charge_lines(spark, sf_dir), t.catalog(spark, sf_dir))
+    return lookup.lookup_coverage(t.charge_lines(spark, sf_dir), t.published_catalog(spark, sf_dir))
 
 
 # --- rules -----------------------------------------------------------------
@@ -158,7 +158,7 @@ def lookup_coverage(spark, sf_dir):
 def overcharge_summary(spark, sf_dir):
     """Flagship: overcharged lines of every bill, by tier, with the excess."""
     findings = rules.price_overcharges(
-        t.charge_lines(spark, sf_dir), t.catalog(spark, sf_dir), per_unit=True
+        t.charge_lines(spark, sf_dir), t.published_catalog(spark, sf_dir), per_unit=True
     )
     return summary.overcharge_summary(findings)
 
@@ -177,20 +177,20 @@ def _price_columns(findings: DataFrame) -> DataFrame:
 @query
 def price_overcharge(spark, sf_dir):
     return _price_columns(
-        rules.price_overcharges(t.charge_lines(spark, sf_dir), t.catalog(spark, sf_dir), per_unit=True)
+        rules.price_overcharges(t.charge_lines(spark, sf_dir), t.published_catalog(spark, sf_dir), per_unit=True)
     )
 
 
 @query
 def price_overcharge_line(spark, sf_dir):
     return _price_columns(
-        rules.price_overcharges(t.charge_lines(spark, sf_dir), t.catalog(spark, sf_dir))
+        rules.price_overcharges(t.charge_lines(spark, sf_dir), t.published_catalog(spark, sf_dir))
     )
 
 
 @query
 def unknown_code_lines(spark, sf_dir):
-    return rules.unknown_code_lines(t.charge_lines(spark, sf_dir), t.catalog(spark, sf_dir)).select(
+    return rules.unknown_code_lines(t.charge_lines(spark, sf_dir), t.published_catalog(spark, sf_dir)).select(
         "bill_id", "line_no", "code", "anomaly_type", "severity"
     )
 
@@ -365,7 +365,7 @@ def review_context(spark, sf_dir):
     )
     keyed = bills.withColumn("key", F.struct("bill_id", "part_no"))
     codes = extract.candidate_codes(keyed, key="key").select("key.*", "code", "position")
-    found = lookup.lookup_codes(codes, t.catalog(spark, sf_dir), how="inner")
+    found = lookup.lookup_codes(codes, t.published_catalog(spark, sf_dir), how="inner")
     contexts = report.review_context(bills, found, keys=("bill_id", "part_no"))
     return _flat(contexts.select("bill_id", "part_no", "n_codes", *_digest("context", "context_md5")))
 
@@ -455,7 +455,7 @@ def uncoded_lines(spark, sf_dir):
 
 @query
 def embed_text(spark, sf_dir):
-    embedded = similarity.embed_text(t.catalog(spark, sf_dir), "document")
+    embedded = similarity.embed_text(t.published_catalog(spark, sf_dir), "document")
     return embedded.select(
         "code",
         F.size("embedding").cast("bigint").alias("n_dims"),
@@ -466,7 +466,7 @@ def embed_text(spark, sf_dir):
 @query
 def description_match(spark, sf_dir):
     """Every charged description matched to the catalog by its words."""
-    matched = similarity.best_matches(t.charge_lines(spark, sf_dir), t.catalog(spark, sf_dir))
+    matched = similarity.best_matches(t.charge_lines(spark, sf_dir), t.published_catalog(spark, sf_dir))
     return matched.select("description", "code", "similarity_score")
 
 
@@ -594,6 +594,6 @@ def stream_prices(spark, sf_dir):
     folder = _stream_folder(spark)
     lines = t.charge_lines_of(_stream(spark, sf_dir, "lineitem"), t.table(spark, sf_dir, "part"))
     jobs.stream_prices(
-        lines, t.catalog(spark, sf_dir), f"{folder}/findings", f"{folder}/checkpoint", per_unit=True
+        lines, t.published_catalog(spark, sf_dir), f"{folder}/findings", f"{folder}/checkpoint", per_unit=True
     ).awaitTermination()
     return _price_columns(spark.read.parquet(f"{folder}/findings"))

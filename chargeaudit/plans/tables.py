@@ -15,6 +15,7 @@ from chargeaudit.operators.catalog import (
     compute_rates,
     with_document,
 )
+from chargeaudit.session import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +113,11 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_document(build_catalog(clean_code_table(spark, sf_dir), rate_table(spark, sf_dir)))
 
 
+def published_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog written once, as the audit jobs read it."""
+    return materialise(catalog(spark, sf_dir))
+
+
 def charge_code() -> Column:
     """Code on a charge line: none, an unknown one, a supplier's or a part's."""
     return (
@@ -212,7 +218,7 @@ def vector_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(
         part_code(F.col("vec_id")).alias("code"), "embedding"
     )
-    return catalog(spark, sf_dir).join(vectors, "code")
+    return published_catalog(spark, sf_dir).join(vectors, "code")
 
 
 def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# What the operators expect of a session. Joins carry no broadcast hints: the
-# optimizer broadcasts by measured size, and adaptive execution splits skewed
-# join partitions, so both settings matter at scale.
+# What the operators expect of a session: adaptive execution splits skewed join
+# partitions and switches joins by measured size. Generated methods beyond 8000
+# bytes of bytecode are never compiled by the JVM; the limit lets Spark fall back
+# to split-up projections for the long text expressions of the reports.
 SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -54,3 +58,41 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value, roughly and never far too low."""
+    if isinstance(field.dataType, T.StringType):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+    if isinstance(field.dataType, T.ArrayType):
+        return F.greatest(F.size(field.name), F.lit(0)) * 8 + 16
+    return F.lit(8)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a frame, measured by running it."""
+    total = sum((_width(field) for field in df.schema.fields), F.lit(16))
+    return df.agg(F.coalesce(F.sum(total.cast("bigint")), F.lit(0))).first()[0]
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Ask for a broadcast of ``df`` if its measured size allows it.
+
+    Meant for the catalog: the optimizer's guess for a freshly joined table is
+    far too high, and a needless shuffle of the charge lines is the most
+    expensive step of the audit. Larger frames are left to the optimizer, which
+    shuffles both sides and splits hot keys.
+    """
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+
+
+def staged_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Run ``df`` now, keep its rows, and broadcast them if there are few.
+
+    For the rare hits of an aggregation that are joined back to all lines: the
+    lines then need no shuffle.
+    """
+    return broadcast_if_small(materialise(df), max_bytes)
