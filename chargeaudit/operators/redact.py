@@ -16,6 +16,7 @@ from chargeaudit.functions.patterns import (
     spark_regex,
 )
 from chargeaudit.functions.text import is_blank
+from chargeaudit.session import materialise
 
 
 def labels(profile: str = "parity") -> list[str]:
@@ -90,17 +91,21 @@ def redact(
         label: reduce(lambda a, b: a + b, [F.col(h) for h in columns]).cast("bigint")
         for label, columns in hits.items()
     }
-    step = step.select(
-        *df.columns if out_col not in df.columns else [n for n in df.columns if n != out_col],
-        out_col,
-        *[value.alias(count_column(label)) for label, value in counts.items()],
-    )
-    total = reduce(lambda a, b: a + b, [F.col(count_column(label)) for label in counts])
+    total = reduce(lambda a, b: a + b, counts.values())
     entries = F.array(
-        *[F.struct(F.lit(label).alias("key"), F.col(count_column(label)).alias("value")) for label in counts]
+        *[F.struct(F.lit(label).alias("key"), value.alias("value")) for label, value in counts.items()]
     )
     audit = F.map_from_entries(F.filter(entries, lambda entry: entry["value"] > 0))
-    return step.select("*", total.alias("n_total"), audit.alias("audit"))
+    results = F.struct(
+        out_col,
+        *[value.alias(count_column(label)) for label, value in counts.items()],
+        total.alias("n_total"),
+        audit.alias("audit"),
+    )
+    # A list of one row, taken apart again: filters on the results stop here.
+    # Pushed further down they would carry a copy of every step for every use.
+    own = [name for name in df.columns if name != out_col]
+    return step.select(*own, F.inline(F.array(results)))
 
 
 def redaction_audit(redacted: DataFrame, profile: str = "parity") -> DataFrame:
@@ -165,6 +170,7 @@ def publish_redacted(
 
     Raw text and failing rows never reach ``path``. Returns the held rows.
     """
-    safe, held = leak_gate(redact(df, text_col, profile), "redacted_text", profile)
-    safe.drop(text_col).write.mode("overwrite").parquet(path)
+    gated = materialise(with_gate(redact(df, text_col, profile).drop(text_col), profile=profile))
+    safe, held = gated.where("is_safe").drop("is_safe"), gated.where("not is_safe").drop("is_safe")
+    safe.write.mode("overwrite").parquet(path)
     return held

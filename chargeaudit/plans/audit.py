@@ -41,13 +41,15 @@ def route_bills(bills: DataFrame, profile: str = "parity", redacted: bool = Fals
     if "file_type" in bills.columns:
         failures["invalid_file_type"] = ~F.coalesce(F.col("file_type").isin(*c.FILE_TYPES), F.lit(False))
     keep = [name for name in bills.columns if name != "text"]
-    return with_status(step, failures).select(
+    routed = with_status(step, failures).select(
         *keys_first(keep),
         F.when(F.col("is_safe"), F.col("redacted_text")).alias("redacted_text"),
         F.length("redacted_text").cast("bigint").alias("char_count"),
         F.col("n_total").cast("bigint").alias("n_redactions"),
         "status",
     )
+    # Read by several consumers; the redaction runs once.
+    return materialise(routed)
 
 
 def keys_first(names: list[str]) -> list[str]:
