@@ -574,7 +574,7 @@ SQL: dict[str, str] = {
     "uncoded_lines": f"""with {RESOLVED},
         flagged as (select *, count(code) over (partition by bill_id) as n_coded from vector_lines)
         select bill_id, line_no, 'unknown_code' as anomaly_type, 'info' as severity
-        from flagged l join best b on l.text_id = b.text_id where l.code is null and n_coded > 0 and b.similarity_score < 0.6""",
+        from flagged l join best b on l.text_id = b.text_id where l.code is null and n_coded > 0 and b.similarity_score < 1.01""",
     "embed_text": f"with {CATALOG} select code, 256::bigint as n_dims, 1.0::DOUBLE as length from catalog",
     "search_result_text": f"""with {CATALOG},
         known as (select c.*, e.embedding::DOUBLE[] as embedding from catalog c

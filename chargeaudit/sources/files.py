@@ -111,28 +111,26 @@ def classify_files(spark: SparkSession, path: str, max_mb: int = c.MAX_UPLOAD_MB
 
     Size is checked first. The limit itself is still accepted.
     """
-    kind = file_kind(F.col("content"))
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(
-            "path",
-            F.element_at(F.split("path", "/"), -1).alias("original_filename"),
-            F.col("length").alias("n_bytes"),
-            kind.alias("mime_type"),
-        )
-        .withColumn(
-            "file_type",
-            F.when(F.col("mime_type") == "application/pdf", "pdf").when(
-                F.col("mime_type").isNotNull(), "image"
-            ),
-        )
-        .withColumn(
-            "status",
-            F.when(F.col("n_bytes") > max_mb * 1024 * 1024, "file_too_large")
-            .when(F.col("mime_type").isNull(), "invalid_file_type")
-            .otherwise("ok"),
-        )
+    limit = max_mb * 1024 * 1024
+    files = spark.read.format("binaryFile").load(path)
+    # The content of files beyond the limit is never read.
+    large = files.where(F.col("length") > limit).select(
+        "path", "length", F.lit(None).cast("string").alias("mime_type")
+    )
+    small = files.where(F.col("length") <= limit).select(
+        "path", "length", file_kind(F.col("content")).alias("mime_type")
+    )
+    kind = F.col("mime_type")
+    return large.unionByName(small).select(
+        "path",
+        F.element_at(F.split("path", "/"), -1).alias("original_filename"),
+        F.col("length").alias("n_bytes"),
+        "mime_type",
+        F.when(kind == "application/pdf", "pdf").when(kind.isNotNull(), "image").alias("file_type"),
+        F.when(F.col("length") > limit, "file_too_large")
+        .when(kind.isNull(), "invalid_file_type")
+        .otherwise("ok")
+        .alias("status"),
     )
 
 
