@@ -60,7 +60,7 @@ def read_below_preamble(
     Records must not span lines.
     """
     lines = spark.read.text(path).select(
-        F.decode(F.col("value").cast("binary"), F.lit(encoding)).alias("value"),
+        F.decode(F.col("value").cast("binary"), encoding).alias("value"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row_id"),
     )
