@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from chargeaudit.llm.decontaminate import op2_decontaminate
+from chargeaudit.llm.html_text import op1_html_text
+from chargeaudit.llm.lm import op5_lm_score
+from chargeaudit.llm.quality import op3_quality_rules
+from chargeaudit.llm.secrets import op6_secret_scan
 from chargeaudit.llm.token_counts import op10_token_counts
 from chargeaudit.llm.token_files import op4_token_files
 from chargeaudit.llm.tokens_bpe import op9_byte_bpe
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
+    "op5_lm_score": op5_lm_score,
+    "op6_secret_scan": op6_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
 }
