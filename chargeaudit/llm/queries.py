@@ -5,7 +5,9 @@ from __future__ import annotations
 from chargeaudit.llm.decontaminate import op2_decontaminate
 from chargeaudit.llm.html_text import op1_html_text
 from chargeaudit.llm.lm import op5_lm_score
+from chargeaudit.llm.near_join import op8_near_join
 from chargeaudit.llm.quality import op3_quality_rules
+from chargeaudit.llm.repeats import op7_substring_dedup
 from chargeaudit.llm.secrets import op6_secret_scan
 from chargeaudit.llm.token_counts import op10_token_counts
 from chargeaudit.llm.token_files import op4_token_files
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_lm_score": op5_lm_score,
     "op6_secret_scan": op6_secret_scan,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_near_join": op8_near_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
 }
