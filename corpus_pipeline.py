@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chargeaudit.llm.common import table, written
+from chargeaudit.llm.decontaminate import decontamination_stage
+from chargeaudit.llm.near_join import near_stage
+from chargeaudit.llm.quality import quality_stage
+from chargeaudit.llm.secrets import secret_stage
 from chargeaudit.llm.tokens_bpe import bpe_stage
 
-STAGES = [("byte-level BPE encoding", bpe_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secret_stage),
+    ("byte-level BPE", bpe_stage),
+]
 
-# A dozen regular expressions over words, linear algebra and graph steps are beyond SQL;
-# tests/llm compares the pipeline with a brute-force version.
+# Robust estimates, similarity groups, tiling and merges are beyond SQL: tests/llm holds the
+# pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
