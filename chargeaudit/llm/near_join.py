@@ -128,30 +128,40 @@ def _marks(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, WIDTH)
 
 
+MEMBER = "node long, rep long, size long, bits_a long, bits_b long"
+
+
 def _split(members: DataFrame, runs: int | None) -> DataFrame:
-    """(node, rep) of the children; ``runs`` starts that many runs at their roots."""
+    """Members of the children of each row's node; ``runs`` starts that many runs at their roots.
+
+    What travels with a member is one bit of each place of its signature, not the signature.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rep, marks = batch.column("rep").to_numpy(), _marks(batch.column("signature"))
+            marks = _marks(batch.column("signature"))
+            bits = np.packbits(marks & 1, axis=1).view(np.int64)
+            rep, size = batch.column("rep").to_numpy(), batch.column("size").to_numpy()
             if runs is None:
                 starts = [batch.column("node").to_numpy().view(np.uint64)]
             else:
                 starts = [np.full(len(rep), mixed(np.array([r + 1], np.uint64))[0]) for r in range(runs)]
             for start in starts:
-                node, own = _children(start, rep, marks)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(own)], ["node", "rep"])
+                node, at = _children(start, np.arange(len(rep)), marks)
+                columns = (node.view(np.int64), rep[at], size[at], bits[at, 0], bits[at, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["node", "rep", "size", "bits_a", "bits_b"])
 
-    return members.mapInArrow(run, "node long, rep long")
+    return members.mapInArrow(run, MEMBER)
 
 
 def _compare(members: DataFrame) -> DataFrame:
     """Edges (u, v) of spanning forests of the pairs that may be similar, from rows sorted by node."""
-    least = WIDTH * SIMILARITY - SLACK * math.sqrt(WIDTH * SIMILARITY * (1 - SIMILARITY))
+    equal = (1 + SIMILARITY) / 2  # chance that a bit is the same
+    least = WIDTH * equal - SLACK * math.sqrt(WIDTH * equal * (1 - equal))
 
-    def edges(node: np.ndarray, rep: np.ndarray, size: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def edges(node: np.ndarray, rep: np.ndarray, size: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = np.arange(len(node))
         left, right = [], []
         for shift in range(1, len(node)):
@@ -161,7 +171,7 @@ def _compare(members: DataFrame) -> DataFrame:
             a, b = same, same + shift
             close = np.minimum(size[a], size[b]) >= SIMILARITY * np.maximum(size[a], size[b])
             a, b = a[close], b[close]
-            alike = (marks[a] == marks[b]).sum(axis=1) >= least
+            alike = WIDTH - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) >= least
             left.append(a[alike])
             right.append(b[alike])
         if not left:
@@ -191,28 +201,30 @@ def _compare(members: DataFrame) -> DataFrame:
             yield out(held)
 
     def out(rows: pa.Table) -> pa.RecordBatch:
-        u, v = edges(
-            rows.column("node").to_numpy(), rows.column("rep").to_numpy(), rows.column("size").to_numpy(), _marks(rows.column("signature"))
-        )
+        node, rep, size, bits_a, bits_b = (rows.column(n).to_numpy() for n in ("node", "rep", "size", "bits_a", "bits_b"))
+        u, v = edges(node, rep, size, np.stack([bits_a, bits_b], axis=1))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return members.select("node", "rep", "size", "signature").repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, "u long, v long")
+    return members.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, "u long, v long")
 
 
 def candidate_edges(classes: DataFrame, recall: float = RECALL) -> DataFrame:
-    """Edges whose components hold every pair of classes (rep, size, signature) that met in a run."""
+    """Edges whose components hold every pair of classes (rep, size, signature) that met in a run.
+
+    Large nodes are counted and taken out before members are dealt by node, so no task gets
+    more than ``SMALL`` rows of a node.
+    """
     spark = classes.sparkSession
     found = spark.createDataFrame([], "u long, v long")
-    members = _split(classes.select("rep", "signature"), runs_needed(recall))
+    members = _split(classes, runs_needed(recall))
     for depth in range(1, DEPTH + 1):
-        members = written(members, "members")
-        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
-        sizes = written(sizes, "nodes")
-        small = members.join(sizes.where(F.col("n") <= SMALL).select("node"), "node").join(classes, "rep")
-        found = found.union(written(_compare(small), "pairs"))
-        large = members.join(sizes.where(F.col("n") > SMALL).select("node", "least"), "node")
+        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where(F.col("n") > SMALL)
+        sizes = written(sizes.select("node", "least"), "nodes")
+        found = found.union(written(_compare(beside(members, sizes.select("node"), ["node"], "left_anti")), "pairs"))
+        large = beside(members, sizes, ["node"])
         if depth < DEPTH:
-            members = _split(large.select("node", "rep").join(classes.select("rep", "signature"), "rep"), None)
+            parents = large.select("node", "rep").join(classes, "rep")
+            members = written(_split(parents, None), "members")
         else:
             # classes that are still many have shared DEPTH chosen places: they go on as one
             found = found.union(large.select(F.col("rep").alias("u"), F.col("least").alias("v")).where("u != v"))
