@@ -202,7 +202,7 @@ def _compare(members: DataFrame) -> DataFrame:
 
     def out(rows: pa.Table) -> pa.RecordBatch:
         node, rep, size, bits_a, bits_b = (rows.column(n).to_numpy() for n in ("node", "rep", "size", "bits_a", "bits_b"))
-        u, v = edges(node, rep, size, np.stack([bits_a, bits_b], axis=1))
+        u, v = edges(node, rep, size, np.stack([bits_a, bits_b], axis=1).view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return members.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, "u long, v long")
