@@ -36,15 +36,18 @@ ROUNDS = 3
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _rename(names: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One round: symbols with the first word and the word after the last that their making looked at."""
+def _rename(names: np.ndarray, low: np.ndarray, high: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round: symbols with the first word and the word after the last that their making looked at.
+
+    What looks beyond the text's ends gets -1 or ``edge``: elsewhere there may be a word.
+    """
     n = len(names)
     # runs: a symbol looks at both neighbours to know where its run ends
     first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
     last = np.append(first[1:], n) - 1
     size = last - first + 1
     run = np.where(size > 1, mixed(names[first] ^ (size.astype(np.uint64) * FACTORS[0])), names[first])
-    low, high = low[np.maximum(first - 1, 0)], high[np.minimum(last + 1, n - 1)]
+    low, high = np.append(low, -1)[first - 1], np.append(high, edge)[last + 1]
     if len(run) < 2:
         return run, low, high
     # pairs: a left symbol looks to its right, a right symbol to its left
@@ -56,12 +59,10 @@ def _rename(names: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nd
     name[head] = mixed(run[head] * FACTORS[0] + mixed(run[tail]) + FACTORS[1])
     seen_low, seen_high = low.copy(), high.copy()
     alone_left = ~right & ~head
-    alone_left[-1] = False
-    seen_high[alone_left] = high[np.flatnonzero(alone_left) + 1]
+    seen_high[alone_left] = np.append(high, edge)[np.flatnonzero(alone_left) + 1]
     seen_high[head] = high[tail]
     alone_right = right & ~tail
-    alone_right[0] = False
-    seen_low[alone_right] = low[np.flatnonzero(alone_right) - 1]
+    seen_low[alone_right] = np.append(low, -1)[np.flatnonzero(alone_right) - 1]
     kept = ~tail
     return name[kept], seen_low[kept], seen_high[kept]
 
@@ -99,8 +100,8 @@ def anchors(words: np.ndarray) -> np.ndarray:
     names = words
     low, high = np.arange(len(words)), np.arange(1, len(words) + 1)
     for _ in range(ROUNDS):
-        names, low, high = _rename(names, low, high)
-    short = high - low <= WINDOW
+        names, low, high = _rename(names, low, high, len(words) + 1)
+    short = (high - low <= WINDOW) & (low >= 0) & (high <= len(words))
     low, high = low[short], high[short]
     keys = mixed(_range_hashes(words, low, high, FACTORS[0]))
     starts = np.arange(n)

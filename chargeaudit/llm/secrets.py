@@ -2,8 +2,9 @@
 
 Only DataFrame functions are used. Pattern spans come from splitting a text at the
 pattern: the lengths of what stands between and of what matched give every position.
-Two Markov models over pairs of characters are trained from labelled strings: what the
-fixed patterns found is random, other long runs of the same characters are ordinary. The
+Two Markov models over pairs of characters are trained from labelled strings: values that
+the fixed patterns found and that mix letters and digits are random, other long runs without
+a digit before a letter are ordinary. The
 counts cover every document; the models have a fixed number of pairs, so only a table of
 bounded size reaches the driver. A run is reported if the log-likelihood ratio of the two
 models, summed over its pairs, is above ``MIN_RATIO``, it holds a digit and a letter and it
@@ -35,6 +36,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_RATIO = 20.0
+PRIOR = 10.0
 SIDE = len(ALPHABET) + 1
 PAIRS = SIDE * SIDE
 
@@ -98,29 +100,44 @@ def _pair_indexes(value: Column) -> Column:
 def train(spans: DataFrame, text: str = "text") -> list[float]:
     """Log-likelihood ratio of each pair of characters, random against ordinary.
 
-    Both models give the chance of a character after the one before, with one added to each
-    count. Labels come from the fixed patterns.
+    Both models give the chance of a character after the one before; counts of a pair are
+    mixed with the chance of the character itself, as ``PRIOR`` further observations.
     """
-    random = F.transform("base", lambda s: F.struct(_cut(F.col(text), s).alias("value"), F.lit(1).alias("random")))
-    ordinary = F.transform("runs", lambda s: F.struct(_cut(F.col(text), s).alias("value"), F.lit(0).alias("random")))
+
+    def value(span: Column) -> Column:
+        whole = _cut(F.col(text), span)
+        return F.when(span["kind"] == 0, F.regexp_extract(whole, ASSIGN, 2)).otherwise(whole)
+
+    random = F.transform("base", lambda s: F.struct(value(s).alias("value"), F.lit(1).alias("random")))
+    ordinary = F.transform("runs", lambda s: F.struct(value(s).alias("value"), F.lit(0).alias("random")))
+    own = F.col("sample.value")
+    labelled = F.when(F.col("sample.random") == 1, _mixed(own)).otherwise(~own.rlike("[0-9][A-Za-z]"))
     counts = (
         spans.where((F.size("base") > 0) | (F.size("runs") > 0))
         .select(F.explode(F.concat(random, ordinary)).alias("sample"))
-        .select("sample.random", F.explode(_pair_indexes(F.col("sample.value"))).alias("pair"))
+        .where(labelled)
+        .select("sample.random", F.explode(_pair_indexes(own)).alias("pair"))
         .groupBy("random", "pair")
         .count()
         .collect()
     )  # at most two rows for each pair
-    both = [[1.0] * PAIRS, [1.0] * PAIRS]
+    both = [[0.0] * PAIRS, [0.0] * PAIRS]
     for row in counts:
         both[row["random"]][row["pair"]] += row["count"]
     chances = []
     for model in both:
-        totals = [sum(model[a * SIDE : (a + 1) * SIDE]) for a in range(SIDE)]
-        chances.append([math.log(n / totals[pair // SIDE]) for pair, n in enumerate(model)])
+        before = [sum(model[a * SIDE : (a + 1) * SIDE]) for a in range(SIDE)]
+        single = [(sum(model[b::SIDE]) + 1) / (sum(model) + SIDE) for b in range(SIDE)]
+        chances.append(
+            [math.log((n + PRIOR * single[p % SIDE]) / (before[p // SIDE] + PRIOR)) for p, n in enumerate(model)]
+        )
     return [r - o for o, r in zip(*chances, strict=True)]
 
 
+def _mixed(value: Column) -> Column:
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+
+
 def _ratio(value: Column, model: Column) -> Column:
     return F.aggregate(_pair_indexes(value), F.lit(0.0), lambda total, pair: total + model[pair])
 
@@ -142,8 +159,7 @@ def secret_spans(df: DataFrame, text: str = "text", min_ratio: float = MIN_RATIO
 
     def suspicious(span: Column) -> Column:
         value = _cut(F.col(text), span)
-        mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-        return mixed & (_ratio(value, model) >= min_ratio)
+        return _mixed(value) & (_ratio(value, model) >= min_ratio)
 
     added = F.when(F.size("runs") > 0, F.filter("runs", suspicious)).otherwise(F.col("runs"))
     return found.withColumn("spans", F.array_sort(F.concat("base", added))).drop("runs")
