@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -66,7 +67,7 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.next, self.fresh, self.chars, self.used = 0, [], 0, 0
+        self.next, self.fresh, self.chars, self.used, self.learning = 0, [], 0, 0, False
         self.spaced, self.plain = _Slots(self, " "), _Slots(self, "")
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.uint32)
@@ -94,6 +95,7 @@ class PieceEncoder:
 
     def _learn(self) -> None:
         """Encode the pieces not met before."""
+        self.learning = True
         words: list[tuple[int, str]] = []
         others: list[tuple[int, str]] = []
         made: list[tuple[int, tuple[int, ...]]] = []
@@ -122,6 +124,7 @@ class PieceEncoder:
             self._store(np.array([s for s, _ in part]), lengths, np.array([i for c in coded for i in c], np.uint32))
         if made:
             self._compose(made)
+        self.learning = False
 
     def _compose(self, made: list[tuple[int, tuple[int, ...]]]) -> None:
         """Store pieces that consist of other pieces, the innermost first."""
@@ -154,6 +157,8 @@ class PieceEncoder:
 
     def _batches(self, texts: Sequence[str], most: int = 8_000_000):
         """Runs of texts with a bounded number of characters."""
+        if self.fresh or self.learning:  # an earlier task of this worker was cut short
+            self._forget()
         at, size = 0, 0
         for i, text in enumerate(texts):
             size += len(text)
@@ -194,8 +199,9 @@ class PieceEncoder:
             self._forget()
 
 
+@lru_cache(maxsize=1)
 def json_tokenizer(path: str) -> PieceEncoder:
-    """Encoder of a tokenizer file of the library."""
+    """Encoder of a tokenizer file of the library; the tasks of a worker share it and what it remembers."""
     from tokenizers import Tokenizer
 
     return PieceEncoder(Tokenizer.from_file(path))

@@ -65,6 +65,12 @@ def rank_tokenizer(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=1)
+def rank_encoder(path: str) -> PieceEncoder:
+    """Encoder of a rank file; the tasks of a worker share it and what it remembers."""
+    return PieceEncoder(rank_tokenizer(path))
+
+
 class ByteTable:
     """Bytes of ids from one flat table."""
 
@@ -103,7 +109,7 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False)
         fields.append(T.StructField("offsets", T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(rank_tokenizer(path))
+        encoder = rank_encoder(path)
         bytes_of = ByteTable(ranks_of(path)) if offsets else None
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
