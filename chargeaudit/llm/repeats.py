@@ -11,7 +11,7 @@ are the same wherever the window's words occur.
 From each window of ``WINDOW`` words the symbol with the smallest hash of its range stands
 for the window. Spark gathers these high-level symbols; those in two or more documents
 reveal windows that may repeat. These windows are verified: 128-bit fingerprints of all their
-words are grouped to the smallest document, and words under windows that a smaller document
+words (those of exact copies aside, which go as a whole) are grouped to the smallest document, and words under windows that a smaller document
 has too are removed. A window without such a symbol (inside a long run) stands for itself.
 
 Defined results: a null text has no words; rows with a null id are kept whole and own
@@ -131,7 +131,7 @@ def _digest(words: list[bytes]) -> str:
 
 
 def _symbols(documents: DataFrame) -> DataFrame:
-    """(doc_id, symbol): what stands for the windows of each document, once each."""
+    """(doc_id, text_id, symbol): what stands for the windows of each document, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -139,14 +139,22 @@ def _symbols(documents: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 found = [np.unique(anchors(hashes.of(t.split()))) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                docs = np.repeat(batch.column("doc_id").to_numpy(), [len(f) for f in found])
+                sizes = [len(f) for f in found]
+                ids = [pa.array(np.repeat(batch.column(n).to_numpy(), sizes)) for n in ("doc_id", "text_id")]
                 flat = np.concatenate(found).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(flat)], ["doc_id", "symbol"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(flat)], ["doc_id", "text_id", "symbol"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, symbol long")
+    return documents.select("doc_id", "text_id", "text").mapInArrow(run, "doc_id long, text_id long, symbol long")
 
 
-PLACES = "doc_id long, text_id long, n_words long, kept_sha256 string, text string, starts array<int>"
+def _copies(documents: DataFrame) -> DataFrame:
+    """(doc_id, text_id) of the rows whose text a smaller document has as a whole."""
+    digests = documents.select("doc_id", "text_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return beside(digests, first.select("digest", "least"), ["digest"]).where("doc_id > least").select("doc_id", "text_id").distinct()
+
+
+PLACES = "doc_id long, text_id long, n_words long, n_removed long, kept_sha256 string, text string, starts array<int>"
 
 
 def _candidates(documents: DataFrame) -> DataFrame:
@@ -159,14 +167,23 @@ def _candidates(documents: DataFrame) -> DataFrame:
                 yield mark(whole.slice(at, 500), hashes)
 
     def mark(batch: pa.RecordBatch, hashes: WordHashes) -> pa.RecordBatch:
-        counts, digests, texts, starts = [], [], [], []
-        for text, shared in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("symbols"), strict=True):
+        counts, removed, digests, texts, starts = [], [], [], [], []
+        rows = zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("symbols"), batch.column("copy").to_pylist(), strict=True)
+        for text, shared, copy in rows:
             words = text.split()
+            if copy and len(words) >= WINDOW:  # every window starts in the smaller document
+                counts.append(len(words))
+                removed.append(len(words))
+                digests.append(_digest([]))
+                texts.append(None)
+                starts.append(np.zeros(0, np.int32))
+                continue
             places = np.zeros(0, np.int32)
             if shared.is_valid and len(shared.values):
                 mine = shared.values.to_numpy().view(np.uint64)
                 places = np.flatnonzero(np.isin(anchors(hashes.of(words)), mine)).astype(np.int32)
             counts.append(len(words))
+            removed.append(0)
             digests.append(None if len(places) else _digest(words))
             texts.append(text.decode() if len(places) else None)
             starts.append(places)
@@ -175,14 +192,15 @@ def _candidates(documents: DataFrame) -> DataFrame:
                 batch.column("doc_id"),
                 batch.column("text_id"),
                 pa.array(counts, pa.int64()),
+                pa.array(removed, pa.int64()),
                 pa.array(digests, pa.string()),
                 pa.array(texts, pa.string()),
                 pa.array(starts, pa.list_(pa.int32())),
             ],
-            ["doc_id", "text_id", "n_words", "kept_sha256", "text", "starts"],
+            ["doc_id", "text_id", "n_words", "n_removed", "kept_sha256", "text", "starts"],
         )
 
-    return documents.select("doc_id", "text_id", "text", "symbols").mapInArrow(run, PLACES)
+    return documents.select("doc_id", "text_id", "text", "symbols", "copy").mapInArrow(run, PLACES)
 
 
 def _windows(places: DataFrame) -> DataFrame:
@@ -253,8 +271,10 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     ``kept`` is the remaining text, null where nothing was removed because no window could repeat.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = rows.withColumn("text_id", F.xxhash64("text"))
     owned = rows.where(F.col("doc_id").isNotNull())
-    symbols = written(_symbols(owned), "symbols")
+    copies = written(_copies(owned), "copies")  # they own no window and are removed as a whole
+    symbols = beside(written(_symbols(owned), "symbols"), copies, ["doc_id", "text_id"], "left_anti")
     shared = (
         symbols.groupBy("symbol")
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
@@ -262,9 +282,9 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         .select("symbol")
     )
     shared = written(shared, "shared")
-    lists = beside(symbols, shared, ["symbol"]).groupBy("doc_id").agg(F.collect_list("symbol").alias("symbols"))
-    lists = written(lists, "lists")
-    marked = beside(rows.withColumn("text_id", F.xxhash64("text")), lists, ["doc_id"], "left")
+    lists = beside(symbols, shared, ["symbol"]).groupBy("doc_id", "text_id").agg(F.collect_set("symbol").alias("symbols"))
+    lists = lists.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    marked = rows.join(lists, ["doc_id", "text_id"], "left")
     places = written(_candidates(marked), "places")
     may = places.where(F.col("text").isNotNull())
     windows = _windows(may)
@@ -277,7 +297,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         .agg(F.collect_list("start").alias("repeated"))
     )
     done = places.where(F.col("text").isNull()).select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept")
+        "doc_id", "n_words", "n_removed", "kept_sha256", F.when(F.col("n_removed") > 0, F.lit("")).alias("kept")
     )
     return _remove(may.join(repeated, ["doc_id", "text_id"], "left")).union(done)
 
