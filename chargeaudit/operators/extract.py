@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chargeaudit import constants as c
@@ -74,13 +74,15 @@ def candidate_codes(
     bills: DataFrame,
     text_col: str = "redacted_text",
     key: str = "bill_id",
-    limit: int = c.MAX_CODES_PER_BILL,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Distinct codes of every text as first seen, at most ``limit``.
+    """Distinct codes of every text as first seen, all or at most ``limit``.
 
     One text is one row, so nothing is shuffled.
     """
-    codes = F.slice(F.array_distinct(codes_in(F.col(text_col))), 1, limit)
+    codes = F.array_distinct(codes_in(F.col(text_col)))
+    if limit is not None:
+        codes = F.slice(codes, 1, limit)
     return bills.select(key, F.posexplode(codes).alias("_at", "code")).select(
         key, "code", (F.col("_at") + 1).alias("position")
     )
@@ -91,7 +93,7 @@ def candidate_codes_of_pages(
     order: Sequence[str],
     text_col: str = "text",
     key: str = "bill_id",
-    limit: int = c.MAX_CODES_PER_BILL,
+    limit: int | None = None,
 ) -> DataFrame:
     """The same for bills that are spread over rows, read in ``order``.
 
@@ -104,6 +106,9 @@ def candidate_codes_of_pages(
         F.posexplode(F.array_distinct(codes_in(F.col(text_col)))).alias("_at", "code"),
     )
     first = found.groupBy(key, "code").agg(F.min(F.struct("_page", "_at")).alias("_first"))
+    if limit is None:  # the shape of a code bounds the distinct ones of a bill
+        place = F.row_number().over(Window.partitionBy(key).orderBy("_first"))
+        return first.withColumn("position", place).drop("_first")
     return top_per_key(first, [key], ["_first"], limit, "position").drop("_first")
 
 

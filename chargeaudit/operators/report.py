@@ -206,7 +206,7 @@ def letters(
     """
     major = F.col("severity").isin("high", "medium")
     sentence = F.concat(F.col("explanation"), F.lit(" "), F.col("suggested_action"))
-    minor = F.concat(F.col("description"), F.lit(": "), F.col("explanation"))
+    minor = F.concat_ws(": ", F.col("description"), F.col("explanation"))
     in_order = F.sort_array(F.collect_list(F.struct("anomaly_no", "code")))
     parts = (
         number_anomalies(findings, sizes)

@@ -100,7 +100,7 @@ def price_and_code_findings(
     )
     billed = F.col("billed_amount")
     if per_unit:
-        billed = billed / F.col("quantity")
+        billed = F.try_divide(billed, F.col("quantity"))
     ratio = F.try_divide(billed, F.col("_price"))
     judged = (
         lines.where("code is not null")

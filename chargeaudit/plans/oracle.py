@@ -18,7 +18,31 @@ def _ratio4(value: str) -> str:
     return f"floor(({value}) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE"
 
 
-PART_CODE = "lpad(cast(p_partkey as varchar), 5, '0')"
+def _lettered(number: str) -> str:
+    """Four base-36 signs from A000 on."""
+    signs = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = f"(({number}) + {10 * 36**3})"
+    return " || ".join(f"substr('{signs}', cast({value} // {36**n} % 36 as bigint) + 1, 1)" for n in (3, 2, 1, 0))
+
+
+def _letter_code(letter: str, key: str) -> str:
+    return (
+        f"(case when {key} < 10000 then '{letter}' || lpad(cast({key} as varchar), 4, '0') "
+        f"when {key} < {10_000 + 26 * 36**3} then '{letter}' || {_lettered(f'{key} - 10000')} "
+        "else error('key beyond the range of its codes') end)"
+    )
+
+
+def _part_code(key: str) -> str:
+    rest, size = f"({key} - 100000)", 26 * 36**3
+    return (
+        f"(case when {key} < 100000 then lpad(cast({key} as varchar), 5, '0') "
+        f"when {key} < {100_000 + 10 * size} then cast({rest} // {size} as varchar) || {_lettered(f'{rest} % {size}')} "
+        "else error('key beyond the range of its codes') end)"
+    )
+
+
+PART_CODE = _part_code("p_partkey")
 DESCRIPTION = "concat_ws(' ', p_name, lower(p_type), 'size', cast(p_size as varchar))"
 
 CODES = rf"""
@@ -28,7 +52,7 @@ raw_codes as (
   union all
   select {PART_CODE}, 'outdated', p_brand, 2, p_partkey from part
   union all
-  select lower('J' || lpad(cast(s_suppkey as varchar), 4, '0')), null, s_name, 1, s_suppkey from supplier
+  select lower({_letter_code("J", "s_suppkey")}), null, s_name, 1, s_suppkey from supplier
   union all
   select n_name, '', null, 3, n_nationkey from nation
 ),
@@ -83,9 +107,9 @@ catalog as (
 
 LINE_NO = "cast(l_linenumber as bigint) * 10000000000000000 + l_partkey * 10000000 + l_suppkey"
 CHARGE_CODE = f"""case when l_discount >= 0.1::DOUBLE then null
-       when l_tax >= 0.08::DOUBLE then 'X' || lpad(cast(l_partkey as varchar), 4, '0')
-       when l_returnflag = 'R' then 'J' || lpad(cast(l_suppkey as varchar), 4, '0')
-       else lpad(cast(l_partkey as varchar), 5, '0') end"""
+       when l_tax >= 0.08::DOUBLE then {_letter_code("X", "l_partkey")}
+       when l_returnflag = 'R' then {_letter_code("J", "l_suppkey")}
+       else {_part_code("l_partkey")} end"""
 
 LINES = f"""
 lines as (
@@ -96,10 +120,10 @@ lines as (
   from lineitem join part on l_partkey = p_partkey
 )"""
 
-PAIRS = """
+PAIRS = f"""
 pairs as (
-  select lpad(cast(p_partkey as varchar), 5, '0') as code,
-         lpad(cast(p_partkey + 1 as varchar), 5, '0') as component_code from part
+  select {_part_code("p_partkey")} as code,
+         {_part_code("p_partkey + 1")} as component_code from part
 )"""
 
 LINE_COLUMNS = "l.bill_id, l.line_no, l.code, l.description, l.quantity, l.billed_amount, l.service_date"
@@ -364,7 +388,7 @@ positions as (
 VECTORS = f"""{CATALOG},
 vector_catalog as (
   select c.*, e.embedding::DOUBLE[] as embedding
-  from catalog c join embeddings e on c.code = lpad(cast(e.vec_id as varchar), 5, '0')
+  from catalog c join embeddings e on c.code = {_part_code("e.vec_id")}
 ),
 texts_used as (select vec_id as text_id, embedding::DOUBLE[] as embedding from embeddings
   where vec_id in (select l_suppkey from lineitem)),
@@ -407,15 +431,15 @@ SQL: dict[str, str] = {
     "catalog_upsert": f"""with {CATALOG},
         new as (
           select code, short_description, medicare_reference_price from (
-            select 'J' || lpad(cast(s_suppkey as varchar), 4, '0') as code, s_name as short_description,
+            select {_letter_code("J", "s_suppkey")} as code, s_name as short_description,
                    s_acctbal as medicare_reference_price,
-                   row_number() over (partition by 'J' || lpad(cast(s_suppkey as varchar), 4, '0') order by s_suppkey) as rn
+                   row_number() over (partition by s_suppkey order by s_suppkey) as rn
             from supplier) where rn = 1
           union all
           select code, short_description, medicare_reference_price from (
-            select 'C' || lpad(cast(c_custkey as varchar), 4, '0') as code, c_name as short_description,
+            select {_letter_code("C", "c_custkey")} as code, c_name as short_description,
                    c_acctbal as medicare_reference_price,
-                   row_number() over (partition by 'C' || lpad(cast(c_custkey as varchar), 4, '0') order by c_custkey) as rn
+                   row_number() over (partition by c_custkey order by c_custkey) as rn
             from customer) where rn = 1)
         select * from new union all
         select code, short_description, medicare_reference_price from catalog
@@ -546,15 +570,15 @@ SQL: dict[str, str] = {
         select source, text_id, turn, coalesce(length({_trim('text')}), 0) as meaningful_chars,
                case when coalesce(length({_trim('text')}), 0) < 50 then 'bill_too_short' else 'ok' end as text_status
         from texts""",
-    "knn_search": """with pairs as (
-          select q.vec_id as query_id, lpad(cast(c.vec_id as varchar), 5, '0') as code,
+    "knn_search": f"""with pairs as (
+          select q.vec_id as query_id, {_part_code("c.vec_id")} as code,
                  round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) as similarity
           from embeddings q cross join embeddings c),
         ranked as (select *, row_number() over (partition by query_id order by similarity desc, code) as rank from pairs)
         select query_id, code, round(similarity, 4) as similarity_score, rank from ranked where rank <= 5""",
     "upcoding": f"""with {VECTORS},
         billed as (
-          select l_orderkey as bill_id, {LINE_NO} as line_no, lpad(cast(l_partkey as varchar), 5, '0') as code, l_suppkey as text_id
+          select l_orderkey as bill_id, {LINE_NO} as line_no, {_part_code("l_partkey")} as code, l_suppkey as text_id
           from lineitem),
         own as (
           select b.*, s.price, round(s.similarity, 4) as own_score from billed b join scored s on b.text_id = s.text_id and b.code = s.code),
@@ -578,7 +602,7 @@ SQL: dict[str, str] = {
     "embed_text": f"with {CATALOG} select code, 256::bigint as n_dims, 1.0::DOUBLE as length from catalog",
     "search_result_text": f"""with {CATALOG},
         known as (select c.*, e.embedding::DOUBLE[] as embedding from catalog c
-          join embeddings e on c.code = lpad(cast(e.vec_id as varchar), 5, '0')),
+          join embeddings e on c.code = {_part_code("e.vec_id")}),
         pairs as (
           select q.vec_id as query_id, k.*, round(list_cosine_similarity(q.embedding::DOUBLE[], k.embedding), 9) as similarity
           from embeddings q cross join known k),

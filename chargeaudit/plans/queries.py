@@ -117,7 +117,7 @@ def catalog_upsert(spark, sf_dir):
         F.col("s_suppkey").alias("row_no"),
     )
     customers = t.table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("C"), F.lpad(F.col("c_custkey").cast("string"), 4, "0")).alias("code"),
+        t.lettered_code("C", F.col("c_custkey")).alias("code"),
         F.col("c_name").alias("short_description"),
         F.col("c_acctbal").alias("medicare_reference_price"),
         F.col("c_custkey").alias("row_no"),

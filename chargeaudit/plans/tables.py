@@ -22,14 +22,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Numbers of four signs in base 36 that begin with a letter: A000 to ZZZZ.
+LETTERED_FROM = 10 * 36**3
+LETTERED = 26 * 36**3
+
+
+def _lettered(number: Column) -> Column:
+    return F.conv((number + LETTERED_FROM).cast("string"), 10, 36)
+
+
+def lettered_code(letter: str, key: Column) -> Column:
+    """A letter and four digits; from key 10,000 on a letter and three base-36 signs.
+
+    Different keys have different codes; a key beyond the range is an error.
+    """
+    digits = F.lpad(key.cast("string"), 4, "0")
+    more = F.when(key - 10_000 < LETTERED, _lettered(key - 10_000)).otherwise(
+        F.raise_error(F.lit("key beyond the range of its codes"))
+    )
+    return F.concat(F.lit(letter), F.when(key < 10_000, digits).otherwise(more))
+
+
 def part_code(key: Column) -> Column:
-    """Code of a part: five digits."""
-    return F.lpad(key.cast("string"), 5, "0")
+    """Code of a part: five digits; from key 100,000 on a digit, a letter and three base-36 signs."""
+    rest = key - 100_000
+    more = F.when(
+        rest < 10 * LETTERED,
+        F.concat(F.floor(rest / LETTERED).cast("string"), _lettered(rest % LETTERED)),
+    ).otherwise(F.raise_error(F.lit("key beyond the range of its codes")))
+    return F.when(key < 100_000, F.lpad(key.cast("string"), 5, "0")).otherwise(more)
 
 
 def supplier_code(key: Column) -> Column:
-    """Second code family: a letter and four digits."""
-    return F.concat(F.lit("J"), F.lpad(key.cast("string"), 4, "0"))
+    """Second code family."""
+    return lettered_code("J", key)
 
 
 def part_description() -> Column:
@@ -122,7 +148,7 @@ def charge_code() -> Column:
     """Code on a charge line: none, an unknown one, a supplier's or a part's."""
     return (
         F.when(F.col("l_discount") >= 0.1, F.lit(None))
-        .when(F.col("l_tax") >= 0.08, F.concat(F.lit("X"), F.lpad(F.col("l_partkey").cast("string"), 4, "0")))
+        .when(F.col("l_tax") >= 0.08, lettered_code("X", F.col("l_partkey")))
         .when(F.col("l_returnflag") == "R", supplier_code(F.col("l_suppkey")))
         .otherwise(part_code(F.col("l_partkey")))
     )

@@ -20,10 +20,12 @@ def _catalog(spark, rows):
 def test_candidate_codes(spark):
     many = " ".join(f"{n:05d}" for n in range(110))
     texts = [(1, "99213 j0696 99213 A0428 x99213 123456"), (2, "nothing"), (3, many)]
-    found = extract.candidate_codes(spark.createDataFrame(texts, "bill_id int, redacted_text string"))
+    bills = spark.createDataFrame(texts, "bill_id int, redacted_text string")
+    found = extract.candidate_codes(bills)
     rows = [(r.bill_id, r.code) for r in found.orderBy("bill_id", "position").collect()]
     assert [code for bill, code in rows if bill == 1] == ["99213", "J0696", "A0428"]
-    assert len([1 for bill, _ in rows if bill == 3]) == 100
+    assert len([1 for bill, _ in rows if bill == 3]) == 110
+    assert extract.candidate_codes(bills, limit=100).where("bill_id = 3").count() == 100
 
 
 @pytest.mark.parametrize("length, status", [(49, "bill_too_short"), (50, "ok")])

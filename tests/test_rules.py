@@ -1,9 +1,12 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from chargeaudit.operators import lookup, rules, summary
 from chargeaudit.operators.catalog import with_document
 from chargeaudit.operators.numbering import number_rows
+from chargeaudit.plans.tables import part_code, supplier_code
 
 LINES = "bill_id int, line_no long, code string, description string, quantity int, billed_amount double, service_date string"
 
@@ -161,3 +164,28 @@ def test_hot_key_numbering_equals_the_plain_window(spark):
     plain = number_rows(df, "bill_id", ["place"], "n")
     hot = number_rows(df, "bill_id", ["place"], "n", hot_rows=500)
     assert hot.exceptAll(plain).count() == 0 and plain.exceptAll(hot).count() == 0
+
+
+def test_codes_of_keys_are_lossless(spark):
+    keys = [1, 9_999, 10_000, 10_001, 99_999, 100_000, 100_001, 1_223_055, 1_313_055, 1_313_056, 9_000_000]
+    column = F.col("key")
+    made = spark.createDataFrame([(key,) for key in keys], "key long").select(
+        "key", part_code(column).alias("part"), F.when(column < 1_223_056, supplier_code(column)).alias("supplier")
+    )
+    rows = {r.key: (r.part, r.supplier) for r in made.collect()}
+    assert rows[9_999] == ("09999", "J9999") and rows[10_000] == ("10000", "JA000")
+    assert rows[1_223_055][1] == "JZZZZ" and rows[100_000][0] == "0A000" and rows[1_313_056][0] == "1A000"
+    codes = [code for pair in rows.values() for code in pair if code]
+    assert len(set(codes)) == len(codes) and all(re.fullmatch("[A-Z0-9]{5}", code) for code in codes)
+
+
+def test_quantity_of_zero_is_not_judged_per_unit(spark):
+    lines = spark.createDataFrame(
+        [(1, 1, "99213", "Visit", 0, 500.0, "01/02/2024")],
+        "bill_id int, line_no int, code string, description string, quantity long, "
+        "billed_amount double, service_date string",
+    )
+    prices = spark.createDataFrame(
+        [("99213", 100.0, True)], "code string, medicare_reference_price double, has_price_data boolean"
+    )
+    assert rules.price_and_code_findings(lines, prices, per_unit=True).count() == 0
