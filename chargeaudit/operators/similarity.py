@@ -29,7 +29,7 @@ from chargeaudit.functions.vectors import cosine, score
 from chargeaudit.operators.lookup import RECORD
 from chargeaudit.operators.numbering import top_per_key
 from chargeaudit.operators.rules import FINDING, LINE, finding_columns
-from chargeaudit.session import materialise
+from chargeaudit.session import broadcast_if_small, materialise, staged_if_small
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -264,15 +264,16 @@ def search_similar(
     query_vector: str = "embedding",
     catalog_key: str = "code",
     catalog_vector: str = "embedding",
-    max_k: int = c.MAX_TOP_K,
+    max_k: int | None = None,
     block_rows: int = c.VECTOR_BLOCK_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar codes of every query, best first.
 
-    Returns ``query_id, code, similarity_score, rank``. ``k`` is clamped to
-    1..``max_k``. Equal scores go to the smaller code.
+    Returns ``query_id, code, similarity_score, rank``. ``k`` is at least 1, and
+    at most ``max_k`` if that is given (the published bound is ``MAX_TOP_K``).
+    Equal scores go to the smaller code.
     """
-    k = max(1, min(k, max_k))
+    k = max(1, k if max_k is None else min(k, max_k))
     wanted = _vectors(queries, query_key, query_vector, "query_id")
     # Of several codes with the very same vector only the first k can be found.
     known = top_per_key(
@@ -330,29 +331,25 @@ def resolve_lines(lines: DataFrame, catalog: DataFrame, matches: DataFrame) -> D
     ``matches`` holds the best match per description and needs to cover only
     the lines without an exact hit.
     """
-    exact = catalog.select(F.col("code").alias("_exact"))
-    best = matches.select(
-        F.col("description").alias("_text"),
-        F.col("code").alias("_similar"),
-        F.col("similarity_score").alias("_score"),
+    records = broadcast_if_small(catalog.select(F.col("code").alias("matched_code"), *RECORD))
+    known = normalise_code(F.col("code")) == F.col("matched_code")
+    columns = ["matched_code", *lines.columns, "match_kind", "similarity_score", *RECORD]
+    exact = (
+        lines.join(records, known)
+        .withColumn("match_kind", F.lit("exact"))
+        .withColumn("similarity_score", F.lit(None).cast("double"))
     )
-    hit = (
-        lines.join(exact, normalise_code(F.col("code")) == F.col("_exact"), "left")
-        .withColumn("_ask", F.when(F.col("_exact").isNull(), F.col("description")))
-        .join(best, F.col("_ask") == F.col("_text"), "left")
+    best = matches.select(
+        "description", F.col("code").alias("matched_code"), F.col("similarity_score").cast("double").alias("similarity_score")
     )
-    return (
-        hit.withColumn("matched_code", F.coalesce("_exact", "_similar"))
-        .withColumn(
-            "match_kind",
-            F.when(F.col("_exact").isNotNull(), "exact")
-            .when(F.col("_similar").isNotNull(), "similar")
-            .otherwise("none"),
-        )
-        .withColumn("similarity_score", F.when(F.col("_exact").isNull(), F.col("_score")))
-        .drop("_exact", "_ask", "_text", "_similar", "_score")
-        .join(catalog.select(F.col("code").alias("matched_code"), *RECORD), "matched_code", "left")
+    # Exact hits take no part in the second join, so they do not meet in one key there.
+    similar = (
+        lines.join(records.select("matched_code"), known, "left_anti")
+        .join(staged_if_small(best), "description", "left")
+        .join(records, "matched_code", "left")
+        .withColumn("match_kind", F.when(F.col("matched_code").isNotNull(), "similar").otherwise("none"))
     )
+    return exact.select(*columns).unionByName(similar.select(*columns))
 
 
 def unresolved_descriptions(lines: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -72,17 +72,25 @@ def audit_bills(
     pairs: DataFrame | None = None,
     profile: str = "parity",
     redacted: bool = False,
+    upcoded: DataFrame | None = None,
+    uncoded: DataFrame | None = None,
 ) -> Audit:
     """Everything the audit yields for the bills that pass all checks.
 
-    ``lines`` are the charge lines read from the bills. The findings feed four
-    outputs and are therefore written once.
+    ``lines`` are the charge lines read from the bills. ``upcoded`` and
+    ``uncoded`` are the findings of the similarity rules for these lines, if
+    the caller has vectors. The findings feed four outputs and are therefore
+    written once.
     """
     routed = route_bills(bills, profile, redacted)
     accepted = routed.where("status = 'ok'")
     lookups = lookup_codes(candidate_codes(accepted), catalog)
-    audited = with_clean_codes(lines).join(accepted.select("bill_id").distinct(), "bill_id", "left_semi")
-    findings = materialise(detect_anomalies(audited, catalog, pairs))
+    bills_kept = accepted.select("bill_id").distinct()
+    audited = with_clean_codes(lines).join(bills_kept, "bill_id", "left_semi")
+    similar = [
+        None if found is None else found.join(bills_kept, "bill_id", "left_semi") for found in (upcoded, uncoded)
+    ]
+    findings = materialise(detect_anomalies(audited, catalog, pairs, upcoded=similar[0], uncoded=similar[1]))
     summary = bill_summary(findings, audited)
     letter_rows = letters(findings, sizes=audited)
     return Audit(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from chargeaudit.functions.patterns import PROFILES
+from chargeaudit.plans.tables import UNCODED_BAR
 
 
 def _trim(text: str) -> str:
@@ -385,11 +386,18 @@ positions as (
   select bill_id, part_no, code, row_number() over (partition by bill_id, part_no order by first_at) as position from text_codes
 )"""
 
-VECTORS = f"""{CATALOG},
+VECTOR_CATALOG = f"""
+code_keys as (
+  select {PART_CODE} as code, p_partkey as key from part
+  union all select {_letter_code("J", "s_suppkey")}, s_suppkey from supplier
+),
 vector_catalog as (
   select c.*, e.embedding::DOUBLE[] as embedding
-  from catalog c join embeddings e on c.code = {_part_code("e.vec_id")}
-),
+  from catalog c join code_keys k on c.code = k.code
+  join embeddings e on e.vec_id = k.key % (select count(*) from embeddings)
+)"""
+
+VECTORS = f"""{CATALOG},{VECTOR_CATALOG},
 texts_used as (select vec_id as text_id, embedding::DOUBLE[] as embedding from embeddings
   where vec_id in (select l_suppkey from lineitem)),
 scored as (
@@ -401,14 +409,15 @@ ranked as (
   select *, row_number() over (partition by text_id order by similarity desc, code) as rank from scored
 )"""
 
-RESOLVED = f"""{VECTORS},
-vector_lines as (
-  select l_orderkey as bill_id, {LINE_NO} as line_no, {CHARGE_CODE} as code, l_suppkey as text_id
-  from lineitem join texts_used on l_suppkey = text_id
+RESOLVED = f"""{CATALOG},{VECTOR_CATALOG},
+coded_lines as (
+  select l_orderkey as bill_id, {LINE_NO} as line_no, {CHARGE_CODE} as code, l_suppkey as text_id from lineitem
 ),
+wordings as (select vec_id as text_id, list_reverse(embedding::DOUBLE[]) as embedding from embeddings
+  where vec_id in (select text_id from coded_lines)),
 all_scored as (
   select text_id, code, round(list_cosine_similarity(t.embedding, v.embedding), 9) as similarity
-  from texts_used t cross join vector_catalog v
+  from wordings t cross join vector_catalog v
 ),
 best as (
   select text_id, code, round(similarity, 4) as similarity_score from (
@@ -538,13 +547,13 @@ SQL: dict[str, str] = {
         found as (select bill_id, line_no, upper(unnest(hits)) as code, unnest(range(1, len(hits) + 1)) as pos from hits),
         first as (select bill_id, code, min((line_no, pos)) as first_at from found group by all)
         select bill_id, code, position from (
-          select *, row_number() over (partition by bill_id order by first_at) as position from first) where position <= 100""",
+          select *, row_number() over (partition by bill_id order by first_at) as position from first)""",
     "review_context": f"""with {CATALOG},{LINES},{BILL_TEXTS},
         tables as (
           select bill_id, part_no, count(*) as n_codes, string_agg('| ' || p.code || ' | ' || short_description[1:50] || ' | '
             || case when has_price_data then '$' || {_fixed('medicare_reference_price', 2)} else 'N/A' end || ' | '
             || case when has_price_data then 'Yes' else 'No' end || ' |', chr(10) order by position) as rows
-          from positions p join catalog c on p.code = c.code where position <= 100 group by all),
+          from positions p join catalog c on p.code = c.code group by all),
         contexts as (
           select b.bill_id, b.part_no, coalesce(n_codes, 0) as n_codes,
             '## Redacted Medical Bill' || chr(10) || chr(10) || 'File: order-' || b.bill_id || '.pdf  |  Type: pdf'
@@ -594,15 +603,15 @@ SQL: dict[str, str] = {
         select bill_id, line_no, coalesce(v.code, b.code) as matched_code,
                case when v.code is not null then 'exact' when b.code is not null then 'similar' else 'none' end as match_kind,
                case when v.code is null then b.similarity_score end as similarity_score
-        from vector_lines l left join vector_catalog v on l.code = v.code left join best b on b.text_id = l.text_id""",
+        from coded_lines l left join catalog v on l.code = v.code left join best b on b.text_id = l.text_id""",
     "uncoded_lines": f"""with {RESOLVED},
-        flagged as (select *, count(code) over (partition by bill_id) as n_coded from vector_lines)
+        flagged as (select *, count(code) over (partition by bill_id) as n_coded from coded_lines)
         select bill_id, line_no, 'unknown_code' as anomaly_type, 'info' as severity
-        from flagged l join best b on l.text_id = b.text_id where l.code is null and n_coded > 0 and b.similarity_score < 1.01""",
+        from flagged l left join best b on l.text_id = b.text_id
+        where l.code is null and n_coded > 0 and coalesce(b.similarity_score, -1) < {UNCODED_BAR}""",
     "embed_text": f"with {CATALOG} select code, 256::bigint as n_dims, 1.0::DOUBLE as length from catalog",
-    "search_result_text": f"""with {CATALOG},
-        known as (select c.*, e.embedding::DOUBLE[] as embedding from catalog c
-          join embeddings e on c.code = {_part_code("e.vec_id")}),
+    "search_result_text": f"""with {CATALOG},{VECTOR_CATALOG},
+        known as (select * from vector_catalog),
         pairs as (
           select q.vec_id as query_id, k.*, round(list_cosine_similarity(q.embedding::DOUBLE[], k.embedding), 9) as similarity
           from embeddings q cross join known k),

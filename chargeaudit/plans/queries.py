@@ -416,7 +416,11 @@ def upcoding(spark, sf_dir):
 
 
 def _coded_vector_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vector lines with the mixed codes of the charge lines, catalog, best matches."""
+    """All lines with the codes of the charge lines, whole catalog, best matches of what it doesn't hold.
+
+    The supplier stands for the wording used. The vector of a wording is the
+    stored one read backwards: no catalog entry has the very same.
+    """
     items = t.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("bill_id"),
         t.line_number().alias("line_no"),
@@ -427,15 +431,16 @@ def _coded_vector_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
         F.date_format("l_shipdate", "MM/dd/yyyy").alias("service_date"),
     )
     vectors = t.table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("service "), F.col("vec_id").cast("string")).alias("description"), "embedding"
+        F.concat(F.lit("service "), F.col("vec_id").cast("string")).alias("description"),
+        F.reverse("embedding").alias("embedding"),
     )
-    known = t.vector_catalog(spark, sf_dir)
-    lines = items.join(vectors.select("description"), "description")
-    asked = vectors.join(items.select("description").distinct(), "description")
+    catalog = t.published_catalog(spark, sf_dir)
+    asked = vectors.join(similarity.unresolved_descriptions(items, catalog), "description")
+    known = t.with_vectors(spark, sf_dir, catalog)
     best = similarity.search_similar(asked, known, k=1, query_key="description").select(
         F.col("query_id").alias("description"), "code", "similarity_score"
     )
-    return lines, known, best
+    return items, catalog, best
 
 
 @query
@@ -447,10 +452,8 @@ def resolve_lines(spark, sf_dir):
 
 @query
 def uncoded_lines(spark, sf_dir):
-    # Every text's own vector is in this catalog with score 1, so only a bar
-    # above 1 leaves lines without a close match.
     lines, _, best = _coded_vector_lines(spark, sf_dir)
-    return rules.uncoded_lines(lines, best, min_score=1.01).select(
+    return rules.uncoded_lines(lines, best, min_score=t.UNCODED_BAR).select(
         "bill_id", "line_no", "anomaly_type", "severity"
     )
 

@@ -22,6 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Similarity from which a line without a code counts as known; scores lie on both sides.
+UNCODED_BAR = 0.35
+
 # Numbers of four signs in base 36 that begin with a letter: A000 to ZZZZ.
 LETTERED_FROM = 10 * 36**3
 LETTERED = 26 * 36**3
@@ -239,12 +242,24 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.unionByName(pages).unionByName(talks)
 
 
-def vector_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalog records that have a stored vector, joined by part key."""
-    vectors = table(spark, sf_dir, "embeddings").select(
-        part_code(F.col("vec_id")).alias("code"), "embedding"
+def with_vectors(spark: SparkSession, sf_dir: str, codes: DataFrame) -> DataFrame:
+    """Catalog records with a vector each: parts and suppliers share the stored ones in turn by key."""
+    vectors = table(spark, sf_dir, "embeddings")
+    keyed = (
+        table(spark, sf_dir, "part")
+        .select(part_code(F.col("p_partkey")).alias("code"), F.col("p_partkey").alias("_key"))
+        .unionByName(
+            table(spark, sf_dir, "supplier").select(supplier_code(F.col("s_suppkey")).alias("code"), F.col("s_suppkey").alias("_key"))
+        )
+        .withColumn("vec_id", F.pmod("_key", F.lit(vectors.count())))
+        .drop("_key")
     )
-    return published_catalog(spark, sf_dir).join(vectors, "code")
+    return codes.join(keyed, "code").join(vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
+
+def vector_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published catalog's parts and suppliers with their vectors."""
+    return with_vectors(spark, sf_dir, published_catalog(spark, sf_dir))
 
 
 def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from chargeaudit.operators.catalog import upsert
 
-# One small text file names the current version of a published catalog.
-_CURRENT = "_current_version"
+# Every publication appends one numbered row here; the highest number is in use.
+_VERSIONS = "_versions"
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
@@ -30,15 +30,22 @@ def _missing_path(error: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in (error.getCondition() or "")
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """Folder of the version in use, or None when nothing is published."""
+def _last_version(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and folder name of the version in use; 0 and None when nothing is published."""
     try:
-        row = spark.read.text(f"{path}/{_CURRENT}").first()
+        versions = spark.read.schema("number long, name string").json(f"{path}/{_VERSIONS}")
     except AnalysisException as error:
         if _missing_path(error):
-            return None
+            return 0, None
         raise
-    return f"{path}/{row.value}" if row else None
+    row = versions.orderBy(F.desc("number"), F.desc("name")).first()
+    return (row.number, row.name) if row else (0, None)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the version in use, or None when nothing is published."""
+    name = _last_version(spark, path)[1]
+    return None if name is None else f"{path}/{name}"
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame | None:
@@ -51,20 +58,21 @@ def publish_catalog(new: DataFrame, path: str, mode: str = "skip") -> DataFrame:
 
     ``skip`` keeps a catalog that has rows, ``replace`` takes ``new`` only and
     ``upsert`` lets its rows win by code. Every publication is a folder of its
-    own, and readers switch when the pointer is written last; a job that dies
-    half-way leaves the old version in use.
+    own, and readers switch when its number is appended last; nothing is ever
+    overwritten, so a job that dies half-way leaves the old version in use.
     """
     if mode not in ("skip", "replace", "upsert"):
         raise ValueError(f"unknown mode: {mode}")
     spark = new.sparkSession
-    old = read_catalog(spark, path)
+    number, last = _last_version(spark, path)
+    old = None if last is None else spark.read.parquet(f"{path}/{last}")
     if mode == "skip" and old is not None and not old.isEmpty():
         return old
     result = upsert(old, new) if mode == "upsert" and old is not None else new
     name = f"version-{uuid.uuid4().hex}"
     result.write.parquet(f"{path}/{name}")
-    pointer = spark.createDataFrame([(name,)], "value string").coalesce(1)
-    pointer.write.mode("overwrite").text(f"{path}/{_CURRENT}")
+    row = spark.createDataFrame([(number + 1, name)], "number long, name string").coalesce(1)
+    row.write.mode("append").json(f"{path}/{_VERSIONS}")
     return spark.read.parquet(f"{path}/{name}")
 
 

@@ -96,6 +96,10 @@ def test_publication(spark, tmp_path):
     after = publish_catalog(_catalog(spark, [("B", 2.0), ("C", 3.0)]), path, "upsert")
     assert sorted(tuple(r) for r in after.collect()) == [("A", 1.0), ("B", 2.0), ("C", 3.0)]
     assert catalog_readiness(spark, path).first().collection_size == 3
+    # a publication that dies before its number is written changes nothing
+    _catalog(spark, [("X", 9.0)]).write.parquet(f"{path}/version-unfinished")
+    assert catalog_readiness(spark, path).first().collection_size == 3
+    assert publish_catalog(_catalog(spark, [("X", 9.0)]), path).count() == 3
 
 
 def test_streams_equal_batch(spark, tmp_path):

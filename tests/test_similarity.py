@@ -2,7 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from chargeaudit.operators.similarity import search_similar
+from chargeaudit.constants import MAX_TOP_K
+from chargeaudit.operators.similarity import resolve_lines, search_similar, unresolved_descriptions
 
 
 def _frame(spark, key, vectors):
@@ -39,3 +40,32 @@ def test_clamps_and_small_catalog(spark):
     assert found.count() == 3
     assert found.where("rank = 1").first().similarity_score == 1.0
     assert search_similar(_frame(spark, "query_id", codes), _frame(spark, "code", codes), k=0).count() == 3
+
+
+@pytest.mark.parametrize("max_k, expected", [(None, 30), (MAX_TOP_K, 20)])
+def test_bound_of_k_is_an_option(spark, max_k, expected):
+    codes = _frame(spark, "code", np.random.default_rng(2).normal(size=(40, 4)))
+    one = _frame(spark, "query_id", np.ones((1, 4)))
+    assert search_similar(one, codes, k=30, max_k=max_k).count() == expected
+
+
+def test_known_codes_need_no_search(spark):
+    catalog = spark.createDataFrame(
+        [("A0001", "a", "a", 1.0, 1.0, True), ("B0002", "b", "b", 2.0, 1.0, True)],
+        "code string, long_description string, short_description string, medicare_reference_price double, "
+        "total_rvu double, has_price_data boolean",
+    )
+    lines = spark.createDataFrame(
+        [(1, " a0001", "x"), (2, "Z9999", "x"), (3, None, "y"), (4, None, None), (5, "B0002", None)],
+        "line_no int, code string, description string",
+    )
+    best = spark.createDataFrame([("x", "B0002", 0.5)], "description string, code string, similarity_score double")
+    rows = {r.line_no: (r.matched_code, r.match_kind, r.similarity_score) for r in resolve_lines(lines, catalog, best).collect()}
+    assert rows == {
+        1: ("A0001", "exact", None),
+        2: ("B0002", "similar", 0.5),
+        3: (None, "none", None),
+        4: (None, "none", None),
+        5: ("B0002", "exact", None),
+    }
+    assert [r.description for r in unresolved_descriptions(lines, catalog).orderBy("description").collect()] == ["x", "y"]
