@@ -132,26 +132,30 @@ MEMBER = "node long, rep long, size long, bits_a long, bits_b long"
 
 
 def _split(members: DataFrame, runs: int | None) -> DataFrame:
-    """Members of the children of each row's node; ``runs`` starts that many runs at their roots.
+    """Members of the children of each row's ``nodes``; ``runs`` starts that many runs at their roots.
 
     What travels with a member is one bit of each place of its signature, not the signature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = _marks(batch.column("signature"))
-            bits = np.packbits(marks & 1, axis=1).view(np.int64)
-            rep, size = batch.column("rep").to_numpy(), batch.column("size").to_numpy()
-            if runs is None:
-                starts = [batch.column("node").to_numpy().view(np.uint64)]
-            else:
-                starts = [np.full(len(rep), mixed(np.array([r + 1], np.uint64))[0]) for r in range(runs)]
-            for start in starts:
-                node, at = _children(start, np.arange(len(rep)), marks)
-                columns = (node.view(np.int64), rep[at], size[at], bits[at, 0], bits[at, 1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["node", "rep", "size", "bits_a", "bits_b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                yield from split(whole.slice(at, 2000))
+
+    def split(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        marks = _marks(batch.column("signature"))
+        bits = np.packbits(marks & 1, axis=1).view(np.int64)
+        rep, size = batch.column("rep").to_numpy(), batch.column("size").to_numpy()
+        own = np.arange(len(rep))
+        if runs is None:
+            nodes = batch.column("nodes")
+            starts = [(nodes.flatten().to_numpy().view(np.uint64), np.repeat(own, nodes.value_lengths().to_numpy()))]
+        else:
+            starts = [(np.full(len(rep), mixed(np.array([r + 1], np.uint64))[0]), own) for r in range(runs)]
+        for start, who in starts:
+            node, at = _children(start, who, marks[who])
+            columns = (node.view(np.int64), rep[at], size[at], bits[at, 0], bits[at, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["node", "rep", "size", "bits_a", "bits_b"])
 
     return members.mapInArrow(run, MEMBER)
 
@@ -223,7 +227,8 @@ def candidate_edges(classes: DataFrame, recall: float = RECALL) -> DataFrame:
         found = found.union(written(_compare(beside(members, sizes.select("node"), ["node"], "left_anti")), "pairs"))
         large = beside(members, sizes, ["node"])
         if depth < DEPTH:
-            parents = large.select("node", "rep").join(classes, "rep")
+            # a class is in a bounded number of nodes, so its signature is fetched once for all of them
+            parents = large.groupBy("rep").agg(F.collect_list("node").alias("nodes")).join(classes, "rep")
             members = written(_split(parents, None), "members")
         else:
             # classes that are still many have shared DEPTH chosen places: they go on as one
