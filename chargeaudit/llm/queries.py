@@ -5,6 +5,7 @@ from __future__ import annotations
 from chargeaudit.llm.decontaminate import op2_decontaminate
 from chargeaudit.llm.html_text import op1_html_text
 from chargeaudit.llm.lm import op5_lm_score
+from chargeaudit.llm.manifest import OP12_SQL, op12_merkle_manifest
 from chargeaudit.llm.near_join import op8_near_join
 from chargeaudit.llm.quality import op3_quality_rules
 from chargeaudit.llm.repeats import op7_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_near_join": op8_near_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_merkle_manifest": OP12_SQL}
