@@ -10,6 +10,7 @@ from chargeaudit.llm.near_join import op8_near_join
 from chargeaudit.llm.quality import op3_quality_rules
 from chargeaudit.llm.repeats import op7_substring_dedup
 from chargeaudit.llm.secrets import op6_secret_scan
+from chargeaudit.llm.spelling import OP11_SQL, op11_spelling_variants
 from chargeaudit.llm.token_counts import op10_token_counts
 from chargeaudit.llm.token_files import op4_token_files
 from chargeaudit.llm.tokens_bpe import op9_byte_bpe
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_near_join": op8_near_join,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-SQL: dict[str, str] = {"op12_merkle_manifest": OP12_SQL}
+SQL: dict[str, str] = {"op11_spelling_variants": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
