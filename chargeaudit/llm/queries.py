@@ -14,6 +14,7 @@ from chargeaudit.llm.spelling import OP11_SQL, op11_spelling_variants
 from chargeaudit.llm.token_counts import op10_token_counts
 from chargeaudit.llm.token_files import op4_token_files
 from chargeaudit.llm.tokens_bpe import op9_byte_bpe
+from chargeaudit.llm.toxicity import op13_toxicity
 
 QUERIES = {
     "op1_html_text": op1_html_text,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_toxicity": op13_toxicity,
 }
 
 SQL: dict[str, str] = {"op11_spelling_variants": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
