@@ -15,6 +15,20 @@ TABLE_DESCRIPTION_CHARS = 50
 PREAMBLE_SCAN_LINES = 15
 PREAMBLE_FALLBACK_LINE = 9
 
+# For every column we need, the whole names that win first and then the parts of
+# names that raw files use for it, best first.
+CODE_LIST_COLUMNS = {
+    "code": ((), ("hcpc", "code")),
+    "long_description": ((), ("long_description", "long_desc", "description")),
+    "short_description": ((), ("short_description", "short_desc")),
+}
+RATE_COLUMNS = {
+    "code": ((), ("hcpcs_cd", "hcpcs", "code")),
+    "work_rvu": (("rvu",), ("work_rvu", "wrvu", "physician_work_rvu", "work_rvus")),
+    "pe_rvu": ((), ("fac_pe_rvu", "non_fac_pe_rvu", "pe_rvu")),
+    "mp_rvu": (("rvu.1",), ("mp_rvu", "mal_rvu", "malpractice_rvu", "malpractice")),
+}
+
 CATALOG_CODE_SHAPE = r"^[A-Z0-9]{5}$"
 TEXT_CODE_PATTERN = r"\b([A-Z]\d{4}|\d{5})\b"
 

@@ -56,14 +56,43 @@ def round_even(col: Column, digits: int) -> Column:
     return F.rint(col * scale) / scale
 
 
-def fixed(col: Column, digits: int) -> Column:
-    """Plain fixed-point text; null for null."""
-    return round_even(col, digits).cast(f"decimal(38,{digits})").cast("string")
+def _exact_steps(value: Column, digits: int, ties: str) -> Column:
+    """``value`` times ``10**digits`` rounded to a whole number as if no digit were ever lost.
+
+    A double is a binary fraction; scaling it can lose what decides a tie (2.675 is a little
+    less than it reads). So the product's own error is computed from the two halves of the
+    double, and a product that reads as a tie is settled by the error's sign; true ties go to
+    the even number, or away from zero.
+    """
+    scale = float(10**digits)
+    x = value.cast("double")
+    product = x * scale
+    below = F.floor(product).cast("double")
+    carried = x * 134217729.0
+    high = carried - (carried - x)
+    error = (high * scale - product) + (x - high) * scale
+    even = F.rint(product) if ties == "even" else F.when(product < 0, below).otherwise(below + 1)
+    settled = F.when(error > 0, below + 1).when(error < 0, below).otherwise(even)
+    # Larger products are whole numbers or halves already, exact below 4.5e13 for two digits.
+    tie = (F.abs(product) < 4.5e15) & (product - below == 0.5)
+    return F.when(tie, settled).otherwise(F.rint(product))
+
+
+def round_exact(col: Column, digits: int) -> Column:
+    """Nearest double to the exact value rounded once, half to even: the way languages round."""
+    return _exact_steps(col, digits, "even") / float(10**digits)
+
+
+def fixed(col: Column, digits: int, ties: str = "even") -> Column:
+    """Plain fixed-point text of the exact value, rounded once; null for null."""
+    steps = _exact_steps(col, digits, ties).cast("decimal(38,0)")
+    return (steps * F.lit(10**-digits).cast(f"decimal({digits + 1},{digits})")).cast(f"decimal(38,{digits})").cast("string")
 
 
 def usd(col: Column) -> Column:
-    """Money as shown to people: sign, dollar, thousands; N/A for null."""
-    text = F.concat(F.when(col < 0, "-").otherwise(""), F.lit("$"), F.format_number(F.abs(col), 2))
+    """Money as shown to people: sign, dollar, thousands, ties away from zero; N/A for null."""
+    cents = F.regexp_replace(fixed(F.abs(col), 2, "away"), r"(\d)(?=(\d{3})+\.)", "$1,")
+    text = F.concat(F.when(col < 0, "-").otherwise(""), F.lit("$"), cents)
     return F.coalesce(text, F.lit("N/A"))
 
 

@@ -304,3 +304,108 @@ def to_documents(
             ).alias("document"),
         )
     )
+
+
+# Fields of a response document by name and kind of value; no others may occur.
+_TEXT, _WHOLE, _NUMBER = ("STRING",), ("BIGINT",), ("BIGINT", "DOUBLE", "DECIMAL")
+_NONE = ("VOID",)
+LINE_FIELDS = {
+    "code": _TEXT + _NONE, "description": _TEXT + _NONE, "quantity": _WHOLE + _NONE,
+    "billed_amount": _NUMBER + _NONE, "service_date": _TEXT + _NONE,
+}
+ANOMALY_FIELDS = {
+    "anomaly_no": _WHOLE, "line_item": ("OBJECT",), "anomaly_type": _TEXT, "severity": _TEXT, "explanation": _TEXT,
+    "medicare_reference_price": _NUMBER + _NONE, "overcharge_ratio": _NUMBER + _NONE, "suggested_action": _TEXT,
+}
+SUMMARY_FIELDS = {
+    "total_line_items": _WHOLE, "total_billed_amount": _NUMBER + _NONE, "anomaly_count": _WHOLE,
+    "high_severity_count": _WHOLE, "medium_severity_count": _WHOLE, "potential_overcharge_total": _NUMBER + _NONE,
+}
+LETTER_FIELDS = {"subject_line": _TEXT, "body": _TEXT, "anomaly_codes": ("ARRAY",)}
+DOCUMENT_FIELDS = {"anomalies": ("ARRAY",), "dispute_letter": ("OBJECT",) + _NONE, "bill_summary": ("OBJECT",)}
+
+
+def _field(value: Column, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f"$.{name}", kind)
+
+
+def _kind(value: Column) -> Column:
+    """STRING, BIGINT, OBJECT and so on; null where there is nothing."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _wrong_fields(value: Column, fields: dict[str, tuple[str, ...]], place: str) -> Column:
+    """What is missing, of the wrong kind or not known in an object; an empty list if all is well."""
+    wrong = [
+        F.when(~F.coalesce(_kind(_field(value, name)).isin(*kinds), F.lit(False)), F.lit(f"{place}{name}"))
+        for name, kinds in fields.items()
+    ]
+    names = F.map_keys(value.try_cast("map<string, variant>"))
+    unknown = F.transform(
+        F.array_except(names, F.array(*[F.lit(name) for name in fields])),
+        lambda name: F.concat(F.lit(f"unknown {place}"), name),
+    )
+    return F.array_compact(F.concat(F.array(*wrong), F.coalesce(unknown, F.array().cast("array<string>"))))
+
+
+def check_documents(documents: DataFrame, column: str = "document") -> DataFrame:
+    """Add ``violations``: the fields of a response document that break its schema.
+
+    A text that isn't JSON has the one violation ``document``. Each finding, its line and the
+    letter and summary are checked; findings have to be numbered one after the other.
+    """
+    value = F.col("_value")
+    none = F.array().cast("array<string>")
+
+    def finding(item: Column) -> Column:
+        return F.concat(
+            _wrong_fields(item, ANOMALY_FIELDS, "anomalies."),
+            _wrong_fields(_field(item, "line_item"), LINE_FIELDS, "line_item."),
+        )
+
+    items = F.coalesce(_field(value, "anomalies", "array<variant>"), F.array().cast("array<variant>"))
+    numbers = F.transform(items, lambda item: _field(item, "anomaly_no", "bigint"))
+    in_order = F.coalesce(numbers == F.transform(numbers, lambda n, at: numbers[0] + at), F.lit(False))
+    letter = _field(value, "dispute_letter")
+    found = F.concat(
+        _wrong_fields(value, DOCUMENT_FIELDS, ""),
+        F.flatten(F.transform(items, finding)),
+        F.when(in_order | (F.size(items) == 0), none).otherwise(F.array(F.lit("anomalies.anomaly_no"))),
+        F.when(_kind(letter) == "OBJECT", _wrong_fields(letter, LETTER_FIELDS, "dispute_letter.")).otherwise(none),
+        _wrong_fields(_field(value, "bill_summary"), SUMMARY_FIELDS, "bill_summary."),
+    )
+    parsed = documents.withColumn("_value", F.try_parse_json(F.col(column)))
+    checked = F.when(value.isNull() | ~F.coalesce(_kind(value) == "OBJECT", F.lit(False)), F.array(F.lit("document")))
+    return parsed.withColumn("violations", checked.otherwise(F.array_distinct(found))).drop("_value")
+
+
+def document_rows(documents: DataFrame, column: str = "document") -> DataFrame:
+    """The findings of response documents as rows again, in order, with the facts of their letter and bill.
+
+    Documents with violations have no rows.
+    """
+    sound = check_documents(documents, column).where(F.size("violations") == 0).drop("violations")
+    value = F.try_parse_json(F.col(column))
+    keys = [name for name in documents.columns if name != column]
+    items = sound.select(
+        *keys,
+        _field(value, "dispute_letter.subject_line", "string").alias("subject_line"),
+        _field(value, "bill_summary.anomaly_count", "bigint").alias("anomaly_count"),
+        _field(value, "bill_summary.total_billed_amount", "double").alias("total_billed_amount"),
+        F.explode(_field(value, "anomalies", "array<variant>")).alias("_item"),
+    )
+    item = F.col("_item")
+    return items.select(
+        *keys,
+        _field(item, "anomaly_no", "bigint").alias("anomaly_no"),
+        _field(item, "line_item.code", "string").alias("code"),
+        _field(item, "line_item.description", "string").alias("description"),
+        _field(item, "line_item.quantity", "bigint").alias("quantity"),
+        _field(item, "line_item.billed_amount", "double").alias("billed_amount"),
+        _field(item, "line_item.service_date", "string").alias("service_date"),
+        *[_field(item, name, "string").alias(name) for name in ("anomaly_type", "severity", "explanation", "suggested_action")],
+        *[_field(item, name, "double").alias(name) for name in ("medicare_reference_price", "overcharge_ratio")],
+        "subject_line",
+        "anomaly_count",
+        "total_billed_amount",
+    )

@@ -24,7 +24,7 @@ from chargeaudit.functions.text import (
     type_rank,
 )
 from chargeaudit.operators.numbering import number_rows
-from chargeaudit.session import broadcast_if_small, staged_if_small
+from chargeaudit.session import broadcast_if_small, materialise, staged_if_small
 
 LINE = (
     "bill_id",
@@ -161,10 +161,7 @@ def duplicate_charges(
     # aggregation on plain numbers.
     place = F.col("line_no") if "bill_id" in keys else F.struct("bill_id", "line_no")
     days = dated.groupBy(*keys, "_day").agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
-    by_day = Window.partitionBy(*keys).orderBy("_day")
-    repeats = days.withColumn("_previous", F.lag("_day").over(by_day)).withColumn(
-        "_near", F.coalesce(F.datediff("_day", "_previous") <= max_gap_days, F.lit(False))
-    ).where(F.col("_day").isNotNull() & ((F.col("_n") > 1) | F.col("_near")))
+    repeats = repeated_days(days, keys, max_gap_days)
     return (
         dated.join(staged_if_small(repeats), [*keys, "_day"])
         .withColumn("_later", place > F.col("_first"))
@@ -184,6 +181,16 @@ def duplicate_charges(
     )
 
 
+def repeated_days(days: DataFrame, keys: Sequence[str], max_gap_days: int) -> DataFrame:
+    """Of ``days(keys, _day, _n, _first)`` those with several lines or with a near day before: ``_previous``, ``_near``."""
+    by_day = Window.partitionBy(*keys).orderBy("_day")
+    return (
+        days.withColumn("_previous", F.lag("_day").over(by_day))
+        .withColumn("_near", F.coalesce(F.datediff("_day", "_previous") <= max_gap_days, F.lit(False)))
+        .where(F.col("_day").isNotNull() & ((F.col("_n") > 1) | F.col("_near")))
+    )
+
+
 def neighbour_days(lines: DataFrame, keys: Sequence[str] = ("bill_id", "code")) -> DataFrame:
     """Per key and day: number of lines, and the day before and after it."""
     by_day = Window.partitionBy(*keys).orderBy("service_day")
@@ -341,6 +348,11 @@ def with_explanations(findings: DataFrame) -> DataFrame:
     return findings.withColumn("explanation", explanation).withColumn("suggested_action", action)
 
 
+def _finding(kind: str, severity: Column | str, when: Column, **facts: Column) -> Column:
+    """The finding as a struct where ``when`` holds, else null."""
+    return F.when(when, F.struct(*finding_columns(kind, severity, **facts)))
+
+
 def detect_anomalies(
     lines: DataFrame,
     catalog: DataFrame,
@@ -349,21 +361,82 @@ def detect_anomalies(
     max_gap_days: int = 1,
     upcoded: DataFrame | None = None,
     uncoded: DataFrame | None = None,
+    fits: DataFrame | None = None,
+    close: DataFrame | None = None,
 ) -> DataFrame:
     """All findings of all bills, unordered.
 
-    ``upcoded`` and ``uncoded`` are the findings of the two similarity rules,
-    if the caller has vectors to run them.
+    The lines are written once with their day. One aggregation of that table, a row for each
+    bill, code and day, gives the rare facts of the rules on several lines; then all rules are
+    judged in one pass over the lines, which are not shuffled for it as long as the facts are
+    small enough to travel.
+
+    The two similarity rules come with ``fits(code, description, other_code, price)``, charged
+    pairs that a cheaper code fits better, and ``close(description)``, the descriptions that
+    the catalog holds; or as findings of their own, ``upcoded`` and ``uncoded``.
     """
-    parts = [
-        price_and_code_findings(lines, catalog, per_unit),
-        duplicate_charges(lines, max_gap_days=max_gap_days),
-        summary_bill_lines(lines),
+    lines = materialise(lines.select(*LINE, parse_service_date(F.col("service_date")).alias("_day")))
+    days = materialise(
+        lines.groupBy("bill_id", "code", "_day").agg(F.count("*").alias("_n"), F.min("line_no").alias("_first"))
+    )
+    codes = days.select("bill_id", "code").where("code is not null").distinct()
+    prices = broadcast_if_small(
+        catalog.select(
+            F.col("code").alias("_key"),
+            F.when(F.col("has_price_data"), F.col("medicare_reference_price")).alias("_price"),
+        )
+    )
+    repeats = repeated_days(days.where("code is not null"), ["bill_id", "code"], max_gap_days).drop("_n")
+    # Bills without any code; most have some.
+    bare = days.groupBy("bill_id").agg(F.count("code").alias("_codes")).where("_codes = 0").drop("_codes")
+    judged = (
+        lines.join(prices, F.col("code") == F.col("_key"), "left")
+        .join(staged_if_small(repeats), ["bill_id", "code", "_day"], "left")
+        .join(staged_if_small(bare.withColumn("_bare", F.lit(True))), "bill_id", "left")
+    )
+    coded = F.col("code").isNotNull()
+    billed = F.try_divide(F.col("billed_amount"), F.col("quantity")) if per_unit else F.col("billed_amount")
+    ratio = F.try_divide(billed, F.col("_price"))
+    price = F.col("_price")
+    later = F.col("line_no") > F.col("_first")
+    found = [
+        _finding("price_overcharge", overcharge_severity(ratio), overcharge_severity(ratio).isNotNull(), price=price, ratio=ratio),
+        _finding("unknown_code", c.UNKNOWN_CODE_SEVERITY, coded & F.col("_key").isNull()),
+        _finding(
+            "duplicate_charge",
+            F.when(later, c.SAME_DAY_DUPLICATE_SEVERITY).otherwise(c.ADJACENT_DUPLICATE_SEVERITY),
+            later | F.col("_near"),
+            related=F.date_format(F.when(later, F.col("_day")).otherwise(F.col("_previous")), "MM/dd/yyyy"),
+        ),
+        _finding("unknown_code", c.SUMMARY_BILL_SEVERITY, F.col("_bare"), related=F.lit("summary bill")),
     ]
     if pairs is not None:
-        parts.append(unbundled_lines(lines, pairs))
-    parts.extend(extra for extra in (upcoded, uncoded) if extra is not None)
-    return with_explanations(union_findings(*parts))
+        inside = (
+            unbundled_pairs(codes, pairs)
+            .groupBy("bill_id", F.col("component_code").alias("code"))
+            .agg(F.min("code").alias("_whole"))
+        )
+        judged = judged.join(staged_if_small(inside), ["bill_id", "code"], "left")
+        found.append(
+            _finding("unbundling", c.UNBUNDLING_SEVERITY, F.col("_whole").isNotNull(), related=F.col("_whole"))
+        )
+    if fits is not None:
+        other = fits.select("code", "description", F.col("other_code").alias("_other"), F.col("price").alias("_own_price"))
+        judged = judged.join(staged_if_small(other), ["code", "description"], "left")
+        found.append(
+            _finding(
+                "upcoding", c.UPCODING_SEVERITY, F.col("_other").isNotNull(), price=F.col("_own_price"), related=F.col("_other")
+            )
+        )
+    if close is not None:
+        known = close.select("description").distinct().withColumn("_close", F.lit(True))
+        judged = judged.join(staged_if_small(known), "description", "left")
+        found.append(
+            _finding("unknown_code", c.UNCODED_LINE_SEVERITY, ~coded & F.col("_bare").isNull() & F.col("_close").isNull())
+        )
+    findings = judged.select(*LINE, F.inline(F.array_compact(F.array(*found))))
+    extra = [more for more in (upcoded, uncoded) if more is not None]
+    return with_explanations(union_findings(findings, *extra))
 
 
 def with_ranks(findings: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Similarity search of descriptions in the catalog, and the rules built on it.
 
-Search is exact. It never pairs all queries with all codes: the catalog is cut
-into cells around pivot vectors, and a query visits only the cells that can
-still hold one of its ``k`` nearest codes. Inside a task a block of queries is
-compared with a block of at most ``VECTOR_BLOCK_ROWS`` codes as matrices, and
-only ``k`` rows per query leave the task. The pivot scheme follows W. Lu et
-al., "Efficient Processing of k Nearest Neighbor Joins using MapReduce",
-VLDB 2012.
+Search is exact. Inside a task a block of queries is compared with a block of
+at most ``VECTOR_BLOCK_ROWS`` codes as matrices, and only ``k`` rows per query
+leave the task. A larger catalog is cut into cells around pivot vectors, and a
+query visits only the cells that can still hold one of its ``k`` nearest codes;
+in many dimensions the bounds leave most cells, so that exact search comes
+close to comparing all pairs. ``densesearch`` has the approximate index for
+such catalogs. The pivot scheme follows W. Lu et al., "Efficient Processing of
+k Nearest Neighbor Joins using MapReduce", VLDB 2012.
 """
 
 from __future__ import annotations
@@ -96,14 +97,14 @@ def _embed_with(df: DataFrame, text_col: str, out_col: str, embedder: Embedder)
     return df.mapInPandas(run, schema)
 
 
-def _vectors(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+def usable_vectors(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     """(name, vector); rows without a direction match nothing and go."""
     return df.select(F.col(key).alias(name), F.col(vector).alias("vector")).where(
         F.exists("vector", lambda x: x != 0)
     )
 
 
-def _kernels(k: int, digits: int = TIE_DIGITS, rows: int = 1024):
+def block_kernels(k: int, digits: int = TIE_DIGITS, rows: int = 1024):
     """What runs inside a task: (stack vectors, match a block).
 
     Local functions, so that the workers get them along with the task.
@@ -137,7 +138,7 @@ def _kernels(k: int, digits: int = TIE_DIGITS, rows: int = 1024):
 
 def _search_one_block(queries: DataFrame, codes: pd.DataFrame, k: int, schema: T.StructType) -> DataFrame:
     """Catalog of at most one block: it travels with the tasks."""
-    stack, match = _kernels(k)
+    stack, match = block_kernels(k)
     names = codes["code"].to_numpy()
     units = stack(codes["vector"])
 
@@ -158,7 +159,7 @@ def _search_cells(
     block_rows: int,
 ) -> DataFrame:
     """Catalog of any size: cells around pivots, visited as the bounds demand."""
-    stack, match = _kernels(k)
+    stack, match = block_kernels(k)
     n_pivots = min(MAX_PIVOTS, 2 * math.ceil(n_codes / block_rows))
     pivot_rows = codes.orderBy(F.xxhash64("code"), "code").limit(n_pivots).toPandas()
     pivots = stack(pivot_rows["vector"])
@@ -274,10 +275,10 @@ def search_similar(
     Equal scores go to the smaller code.
     """
     k = max(1, k if max_k is None else min(k, max_k))
-    wanted = _vectors(queries, query_key, query_vector, "query_id")
+    wanted = usable_vectors(queries, query_key, query_vector, "query_id")
     # Of several codes with the very same vector only the first k can be found.
     known = top_per_key(
-        _vectors(catalog, catalog_key, catalog_vector, "code"), ["vector"], ["code"], k, "_copy"
+        usable_vectors(catalog, catalog_key, catalog_vector, "code"), ["vector"], ["code"], k, "_copy"
     ).drop("_copy")
     schema = T.StructType(
         [
@@ -304,27 +305,6 @@ def with_records(matches: DataFrame, catalog: DataFrame) -> DataFrame:
     return matches.join(catalog.select("code", *RECORD), "code")
 
 
-def best_matches(
-    descriptions: DataFrame,
-    catalog: DataFrame,
-    text_col: str = "description",
-    embed: Callable[[DataFrame, str, str], DataFrame] | None = None,
-) -> DataFrame:
-    """Best match of every distinct description: ``description, code, similarity_score``.
-
-    ``embed(df, text_col, out_col)`` adds the vector; by default both sides are
-    embedded by the words of the catalog's search documents.
-    """
-    embed = embed or word_embedder(catalog, "document")
-    wanted = descriptions.select(text_col).where(~is_blank(F.col(text_col))).distinct()
-    return search_similar(
-        embed(wanted, text_col, "embedding"),
-        embed(catalog.select("code", "document"), "document", "embedding"),
-        k=1,
-        query_key=text_col,
-    ).select(F.col("query_id").alias(text_col), "code", "similarity_score")
-
-
 def resolve_lines(lines: DataFrame, catalog: DataFrame, matches: DataFrame) -> DataFrame:
     """Catalog record of every line: by its code if known, else by description.
 

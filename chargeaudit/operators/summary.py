@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chargeaudit import constants as c
-from chargeaudit.functions.text import normalise_code, pick
+from chargeaudit.functions.text import normalise_code, pick, round_exact
 from chargeaudit.operators.numbering import number_rows
 from chargeaudit.operators.rules import with_ranks
 
@@ -23,7 +23,7 @@ def finding_totals(findings: DataFrame) -> DataFrame:
         F.count("*").alias("anomaly_count"),
         F.count_if(F.col("severity") == "high").alias("high_severity_count"),
         F.count_if(F.col("severity") == "medium").alias("medium_severity_count"),
-        F.round(F.sum(excess), 2).alias("potential_overcharge_total"),
+        round_exact(F.sum(excess), 2).alias("potential_overcharge_total"),
     )
 
 
@@ -32,7 +32,7 @@ def line_totals(lines: DataFrame) -> DataFrame:
     complete = F.count("*") == F.count("billed_amount")
     return lines.groupBy("bill_id").agg(
         F.count("*").alias("total_line_items"),
-        F.round(F.when(complete, F.sum("billed_amount")), 2).alias("total_billed_amount"),
+        round_exact(F.when(complete, F.sum("billed_amount")), 2).alias("total_billed_amount"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from chargeaudit.functions.patterns import PROFILES
-from chargeaudit.plans.tables import UNCODED_BAR
+from chargeaudit.plans.tables import FAMILY_NAMES, GIVEN_NAMES, STREETS, TEXT_BAR, TEXT_MARGIN, UNCODED_BAR
 
 
 def _trim(text: str) -> str:
@@ -11,8 +11,11 @@ def _trim(text: str) -> str:
 
 
 def _fixed(value: str, digits: int) -> str:
-    scale = 10**digits
-    return f"printf('%.{digits}f', round_even(({value}) * {scale}.0::DOUBLE, 0) / {scale}.0::DOUBLE)"
+    return f"printf('%.{digits}f', {value})"
+
+
+def _rounded(value: str, digits: int) -> str:
+    return f"cast({_fixed(value, digits)} as double)"
 
 
 def _ratio4(value: str) -> str:
@@ -232,12 +235,12 @@ summary as (
          coalesce(f.h, 0) as high_severity_count, coalesce(f.m, 0) as medium_severity_count, f.potential_overcharge_total
   from (
     select bill_id, count(*) as total_line_items,
-           round(case when count(*) = count(billed_amount) then sum(billed_amount) end, 2) as total_billed_amount
+           {_rounded('case when count(*) = count(billed_amount) then sum(billed_amount) end', 2)} as total_billed_amount
     from lines group by bill_id) b
   left join (
     select bill_id, count(*) as n, count(case when severity = 'high' then 1 end) as h, count(case when severity = 'medium' then 1 end) as m,
-           round(sum(case when overcharge_ratio > 0 and billed_amount - billed_amount / overcharge_ratio > 0
-             then billed_amount - billed_amount / overcharge_ratio end), 2) as potential_overcharge_total
+           {_rounded("""sum(case when overcharge_ratio > 0 and billed_amount - billed_amount / overcharge_ratio > 0
+             then billed_amount - billed_amount / overcharge_ratio end)""", 2)} as potential_overcharge_total
     from findings group by bill_id) f on b.bill_id = f.bill_id
 )"""
 
@@ -409,6 +412,33 @@ ranked as (
   select *, row_number() over (partition by text_id order by similarity desc, code) as rank from scored
 )"""
 
+WORD_VECTORS = r"""
+doc_words as (
+  select code, word, count(*) as tf from (select code, unnest(regexp_extract_all(lower(document), '[\p{L}\p{N}]+')) as word from catalog)
+  group by all),
+idf as (select word, ln(1.0::DOUBLE + n / count(*)) as idf from doc_words, (select count(*)::DOUBLE as n from catalog) group by word, n),
+doc_vectors as (
+  select code, word, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by code)) as weight from doc_words join idf using (word))"""
+
+
+def _text_matches(asked: str, k: int) -> str:
+    """Ranked codes of the distinct texts of a table with a column ``text``."""
+    return rf"""
+    text_words as (
+      select text, word, count(*) as tf from (
+        select text, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) as word from (select distinct text from {asked}))
+      group by all),
+    text_vectors as (
+      select text, word, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by text)) as weight from text_words join idf using (word)),
+    text_pairs as (
+      select text, code, round(sum(q.weight * d.weight), 9) as similarity
+      from text_vectors q join doc_vectors d using (word) group by text, code),
+    matches as (
+      select text, code, round(similarity, 4) as similarity_score,
+             row_number() over (partition by text order by similarity desc, code) as rank
+      from text_pairs qualify rank <= {k})"""
+
+
 RESOLVED = f"""{CATALOG},{VECTOR_CATALOG},
 coded_lines as (
   select l_orderkey as bill_id, {LINE_NO} as line_no, {CHARGE_CODE} as code, l_suppkey as text_id from lineitem
@@ -469,7 +499,7 @@ SQL: dict[str, str] = {
     "overcharge_summary": f"""with {CATALOG},{LINES},{_priced('priced', True)}
         select bill_id, count(*) as anomaly_count, count(case when overcharge_ratio > 3 then 1 end) as high_severity_count,
                count(case when overcharge_ratio >= 1.5 and overcharge_ratio <= 3 then 1 end) as medium_severity_count,
-               round(sum(billed_amount - billed_amount / overcharge_ratio), 2) as potential_overcharge_total
+               {_rounded('sum(billed_amount - billed_amount / overcharge_ratio)', 2)} as potential_overcharge_total
         from priced group by bill_id""",
     "price_overcharge": f"""with {CATALOG},{LINES},{_priced('priced', True)}
         select bill_id, line_no, code, severity, medicare_reference_price, overcharge_ratio from (
@@ -609,6 +639,20 @@ SQL: dict[str, str] = {
         select bill_id, line_no, 'unknown_code' as anomaly_type, 'info' as severity
         from flagged l left join best b on l.text_id = b.text_id
         where l.code is null and n_coded > 0 and coalesce(b.similarity_score, -1) < {UNCODED_BAR}""",
+    "word_weights": f"with {CATALOG},{WORD_VECTORS} select code, word, round(weight, 6) as weight from doc_vectors",
+    "description_match": f"""with {CATALOG},{WORD_VECTORS},
+        asked as (select distinct {DESCRIPTION} as text from lineitem join part on l_partkey = p_partkey),
+        {_text_matches('asked', 1)}
+        select text as description, code, similarity_score from matches""",
+    "search_text": f"""with {CATALOG},{WORD_VECTORS},
+        asked as (
+          select 'P' || p_partkey as query_key, case when p_size < 3 then ' ' || chr(9)
+            else concat_ws(' ', lower(p_type), p_name, 'no.', cast(p_size as varchar)) end as text from part
+          union all select 'C' || c_custkey, c_name from customer),
+        {_text_matches('asked', 5)}
+        select query_key, case when {_trim('a.text')} = '' then 'blank_query' when code is null then 'no_match' else 'ok' end as status,
+               code, similarity_score, rank
+        from asked a left join matches m on a.text = m.text""",
     "embed_text": f"with {CATALOG} select code, 256::bigint as n_dims, 1.0::DOUBLE as length from catalog",
     "search_result_text": f"""with {CATALOG},{VECTOR_CATALOG},
         known as (select * from vector_catalog),
@@ -685,3 +729,168 @@ SQL["stream_redact"] = f"""with texts as (select 'documents' as source, doc_id a
         select text_id as doc_id, cast(n_total as bigint) as n_total, length(t0) as n_chars, md5(t0) as text_md5 from redacted
         where not ({_any_match('t0', 'parity')})"""
 SQL["stream_prices"] = SQL["price_overcharge"]
+SQL["stream_redact_sinks"] = f"""with texts as (select 'documents' as source, doc_id as text_id, 0 as turn, text from documents),
+        {_redaction('parity')}
+        select case when {_any_match('t0', 'strict', 3)} then 'held' else 'safe' end as sink,
+               text_id as doc_id, cast(n_total as bigint) as n_total from redacted"""
+SQL["stream_redact_counts"] = f"""with texts as (select 'documents' as source, doc_id as text_id, 0 as turn, text from documents),
+        {_redaction('parity')} {_label_rows('parity')}"""
+SQL["stream_throttle"] = SQL["throttle_audit"]
+SQL["stream_duplicate_charge"] = SQL["duplicate_charge"]
+
+SQL["all_findings"] = f"""with {CATALOG},{WORD_VECTORS},
+        named as (
+          select l_orderkey as o, l_linenumber as n, l_partkey as p, l_suppkey as s, any_value({DESCRIPTION}) as description,
+                 any_value(o_custkey) as patient
+          from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey group by all),
+        charged as (
+          select l.*, c.code from lineitem l
+          join (select l_orderkey, l_linenumber, orig, l_suppkey, {CHARGE_CODE} as code
+                from (select * replace (l_partkey % 1000 + 1 as l_partkey), l_partkey as orig from lineitem)) c
+            on c.l_orderkey = l.l_orderkey and c.l_linenumber = l.l_linenumber and c.orig = l.l_partkey and c.l_suppkey = l.l_suppkey),
+        lines as (
+          select patient as bill_id, l_orderkey * 10 + l_linenumber as line_no, code, description,
+                 cast(l_quantity as bigint) as quantity, case when l_quantity > 1 then l_extendedprice end as billed_amount,
+                 strftime(date_trunc('month', l_shipdate), '%m/%d/%Y') as service_date
+          from charged join named on o = l_orderkey and n = l_linenumber and p = l_partkey and s = l_suppkey),
+        {PAIRS},{_priced('priced', True)},{UNKNOWN},
+        days as (
+          select *, strptime(service_date, '%m/%d/%Y')::date as day from lines where code is not null),
+        per_day as (select bill_id, code, day, min(line_no) as first_no from days group by all),
+        near_day as (
+          select *, lag(day) over (partition by bill_id, code order by day) as previous from per_day),
+        duplicates as (
+          select l.*, case when line_no > first_no then 'high' else 'medium' end as severity,
+                 strftime(case when line_no > first_no then l.day else previous end, '%m/%d/%Y') as related
+          from days l join near_day d on l.bill_id = d.bill_id and l.code = d.code and l.day = d.day
+          where line_no > first_no or datediff('day', previous, l.day) <= 1),
+        whole as (
+          select bill_id, component_code, min(p.code) as related from (select distinct bill_id, code from lines) o
+          join pairs p on o.code = p.code group by all),
+        unbundled_lines as (
+          select l.*, w.related from lines l join whole w on w.bill_id = l.bill_id and w.component_code = l.code),
+        {SUMMARY_LINES},
+        asked as (select distinct description as text from lines),
+        {_text_matches('asked', 5)},
+        charges as (
+          select distinct l.code, l.description, c.medicare_reference_price as price
+          from lines l join catalog c on c.code = l.code where c.has_price_data),
+        own as (
+          select a.code, a.description, a.price, coalesce(round(p.similarity, 4), 0) as own_score
+          from charges a left join text_pairs p on p.text = a.description and p.code = a.code),
+        fits as (
+          select o.code, o.description, o.price, m.code as related
+          from own o join matches m on m.text = o.description join catalog c on c.code = m.code
+          where c.has_price_data and c.medicare_reference_price < o.price and round(m.similarity_score - o.own_score, 4) >= {TEXT_MARGIN}
+          qualify row_number() over (partition by o.code, o.description order by m.rank) = 1),
+        far as (
+          select l.* from (select *, count(code) over (partition by bill_id) as n_coded from lines) l
+          left join matches m on m.text = l.description and m.rank = 1
+          where l.code is null and n_coded > 0 and coalesce(m.similarity_score, -1) < {TEXT_BAR})
+        select {LINE_COLUMNS}, 'price_overcharge' as anomaly_type, {TIERS.format(r='overcharge_ratio')} as severity,
+               medicare_reference_price, {_ratio4('overcharge_ratio')} as overcharge_ratio, null::varchar as related from priced l
+        union all select {LINE_COLUMNS}, 'unknown_code', 'medium', null, null, null from unknown l
+        union all select {LINE_COLUMNS}, 'duplicate_charge', severity, null, null, related from duplicates l
+        union all select {LINE_COLUMNS}, 'unbundling', 'medium', null, null, related from unbundled_lines l
+        union all select {LINE_COLUMNS}, 'unknown_code', 'info', null, null, 'summary bill' from summary_lines l
+        union all select {LINE_COLUMNS}, 'upcoding', 'medium', f.price, null, f.related
+          from lines l join fits f on f.code = l.code and f.description = l.description
+        union all select l.bill_id, l.line_no, null, l.description, l.quantity, l.billed_amount, l.service_date,
+          'unknown_code', 'info', null, null, null from far l"""
+SQL["catalog_from_files"] = SQL["catalog_build"]
+
+
+def _forms() -> str:
+    def digits(factor: int, width: int) -> str:
+        return f"lpad(cast((c_custkey * {factor} + 17) % {10**width} as varchar), {width}, '0')"
+
+    def chosen(words: tuple[str, ...]) -> str:
+        return f"[{', '.join(_sql_text(w) for w in words)}][c_custkey % {len(words)} + 1]"
+
+    return f"""texts as (
+      select 'forms' as source, c_custkey as text_id, 0::bigint as turn, concat_ws(chr(10),
+        'Patient Name: ' || {chosen(GIVEN_NAMES)} || ' ' || {chosen(FAMILY_NAMES)},
+        case when c_custkey % 2 = 0 then 'SSN: ' || {digits(7, 3)} || '-' || {digits(11, 2)} || '-' || {digits(13, 4)} end,
+        case when c_custkey % 3 = 0 then 'id ' || {digits(19, 3)} || '-' || {digits(23, 2)} || '-' || {digits(29, 4)} end,
+        case when c_custkey % 2 = 1 then 'Medicare ID: 1EG4-TE5-MK' || {digits(31, 2)} end,
+        'Member ID: ZX' || {digits(37, 7)},
+        case when c_custkey % 5 <> 0 then 'DOB: 0' || (c_custkey % 9 + 1) || '/1' || (c_custkey % 9) || '/19' || {digits(41, 2)} end,
+        (c_custkey % 9000 + 10) || ' ' || {chosen(STREETS)} || ' Street, Apt ' || (c_custkey % 40),
+        'Phone (' || {digits(43, 3)} || ') ' || {digits(47, 3)} || '-' || {digits(53, 4)},
+        'Mail c' || c_custkey || '@clinic.example',
+        case when c_custkey % 4 = 0
+          then 'Card 4' || {digits(59, 3)} || ' ' || {digits(61, 4)} || ' ' || {digits(67, 4)} || ' ' || {digits(71, 4)} end,
+        case when c_custkey % 7 = 0 then 'From 10.' || (c_custkey % 256) || '.0.1' end,
+        'Balance due on 01/15/2025 for 99213') as text
+      from customer)"""
+
+
+SQL["form_texts"] = f"""with {_forms()},{_redaction('parity')}
+        select text_id, cast(n_total as bigint) as n_total, length(t0) as n_chars, md5(t0) as text_md5 from redacted"""
+SQL["form_audit"] = f"with {_forms()},{_redaction('parity')} {_label_rows('parity')}"
+SQL["form_audit_strict"] = f"with {_forms()},{_redaction('strict')} {_label_rows('strict')}"
+SQL["response_rows"] = f"""with {FINDINGS},{DOMINANT},{SUMMARY}
+        select n.bill_id, (n.anomaly_no - 1) // 500 + 1 as part_no, n.anomaly_no, n.code, n.description, n.quantity, n.billed_amount,
+               n.service_date, n.anomaly_type, n.severity, n.medicare_reference_price, {_ratio4('overcharge_ratio')} as overcharge_ratio,
+               md5(n.explanation || n.suggested_action) as words_md5, s.subject_line, m.anomaly_count, m.total_billed_amount
+        from numbered n join subjects s on s.bill_id = n.bill_id join summary m on m.bill_id = n.bill_id"""
+SQL["response_checks"] = f"""with {FINDINGS},{SUMMARY},
+        parts as (select bill_id, max(anomaly_no) as n from numbered group by bill_id)
+        select '' as violations, cast(sum(greatest(1, (coalesce(n, 0) + 499) // 500)) as bigint) as n_documents
+        from summary left join parts using (bill_id)"""
+
+_UPLOADS = """uploads as (
+      select * replace (case when text_id % 17 = 0 then ' ' || chr(10) when text_id % 19 = 0 then 'Mail x@y.example' else text end as text),
+             case when text_id % 11 = 0 then 'gif' when text_id % 2 = 0 then 'image' else 'pdf' end as file_type from forms)"""
+
+
+def _routed(source: str, statuses: str) -> str:
+    leak, blank = _any_match("t0", "parity"), _trim("t0")
+    return f"""select text_id as bill_id, file_type, cast(length(t0) as bigint) as char_count, cast(n_total as bigint) as n_redactions,
+        case {statuses} when {_trim('text')} = '' then 'ocr_failed' when {leak} then 'pii_redaction_failed'
+          when length({blank}) < 50 then 'bill_too_short' else 'ok' end as status,
+        case when not ({leak}) then md5(t0) end as text_md5 from {source}"""
+
+
+_FORMS_UP = f"{_forms().replace('texts as (', 'forms as (', 1)},{_UPLOADS}, texts as (select * from uploads)"
+SQL["bill_routes"] = f"""with {_FORMS_UP},{_redaction('parity')},
+        both_texts as (select r.*, u.file_type, u.text from redacted r join uploads u using (text_id))
+        {_routed('both_texts', "when text_id % 13 = 0 then 'file_too_large' when file_type = 'gif' then 'invalid_file_type'")}"""
+SQL["gated_bills"] = f"""with {_FORMS_UP},{_redaction('parity')},
+        sent as (select text_id, file_type, case when text_id % 3 = 0 then u.text else r.t0 end as t0, 0 as n_total, u.text
+                 from redacted r join uploads u using (text_id))
+        select * exclude (file_type) from ({_routed('sent', "when file_type = 'gif' then 'invalid_file_type'")})"""
+SQL["published_texts"] = f"""with {_forms().replace('texts as (', 'forms as (', 1)},
+        texts as (select * from forms union all select 'documents', doc_id, 0, text from documents),{_redaction('parity')}
+        select case when {_any_match('t0', 'parity')} then 'held' else 'published' end as sink, source, text_id,
+               cast(n_total as bigint) as n_total, md5(t0) as text_md5 from redacted"""
+SQL["first_codes"] = SQL["candidate_codes"] + " where position <= 3"
+SQL["embedder_hook"] = f"""with {CATALOG} select code, {', '.join(
+    f"cast(length(document) - length(replace(lower(document), '{v}', '')) as double) as n_{v}" for v in 'aeiou')} from catalog"""
+
+
+def _violations(name: str, source: str, tests: list[tuple[str, str]]) -> str:
+    messages = ", ".join(f"case when {bad} then {_sql_text(message)} end" for message, bad in tests)
+    return f"""select '{name}' as record, violations, count(*) as n_records from (
+        select concat_ws('; ', {messages}) as violations from ({source})) group by violations"""
+
+
+_KINDS, _LEVELS = "price_overcharge, duplicate_charge, unbundling, upcoding, unknown_code", "high, medium, low, info"
+SQL["typed_violations"] = " union all ".join([
+    _violations("bill", """select case when o_custkey % 9 <> 0 then o_orderpriority end as r, o_orderstatus as f, o_custkey - 20 as n from orders""", [
+        ("redacted_text is required", "r is null"), ("file_type must be one of: pdf, image", "f not in ('F', 'O')"),
+        ("char_count must not be negative", "n < 0")]),
+    _violations("record", """select case when c_custkey % 8 <> 0 then c_name end as c, c_acctbal as p, c_nationkey - 3 as t,
+            (c_nationkey - 2) / 20.0::DOUBLE as s from customer""", [
+        ("code is required", "c is null"), ("medicare_reference_price must not be negative", "p < 0"),
+        ("total_rvu must not be negative", "t < 0"), ("similarity_score must lie between 0 and 1", "s < 0 or s > 1")]),
+    _violations("finding", """select o_custkey as k, o_totalprice as p, o_orderpriority as d from orders""", [
+        ("description is required", "d is null"), ("quantity must be at least 1", "k % 5 < 1"),
+        ("billed_amount must not be negative", "p - 20000 < 0"), (f"anomaly_type must be one of: {_KINDS}", "k % 3 <> 0"),
+        (f"severity must be one of: {_LEVELS}", "k % 4 <> 0"), ("explanation is required", "k % 7 = 0"),
+        ("medicare_reference_price must not be negative", "p - 9000 < 0"), ("overcharge_ratio must not be negative", "k % 2 = 0")]),
+    _violations("summary", """select count(*) - 9 as l, sum(o_totalprice) - 200000 as b, count(*) filter (o_orderstatus = 'F') - 3 as h
+            from orders group by o_custkey""", [
+        ("total_line_items must not be negative", "l < 0"), ("total_billed_amount must not be negative", "b < 0"),
+        ("high_severity_count must not be negative", "h < 0")]),
+])

@@ -7,20 +7,24 @@ precision are cut to four decimals, whole numbers are 64-bit.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from chargeaudit.functions.text import label, ratio_text, usd
 from chargeaudit.functions.vectors import norm
 from chargeaudit.operators import catalog as cat
-from chargeaudit.operators import checks, extract, lookup, report, rules, similarity, summary
-from chargeaudit.operators.redact import redact, redaction_audit, with_gate
+from chargeaudit.operators import checks, densesearch, extract, lookup, report, rules, similarity, summary, textsearch
+from chargeaudit.operators.redact import publish_redacted, redact, redaction_audit, with_gate
 from chargeaudit.plans import tables as t
+from chargeaudit.plans.audit import route_bills
 from chargeaudit.session import ensure_checkpoint_dir, materialise
-from chargeaudit.sources.files import classify_files
+from chargeaudit.sources.files import classify_files, read_below_preamble, read_strings
 from chargeaudit.sources.tables import readiness
 from chargeaudit.streaming import jobs
 
@@ -126,6 +130,37 @@ def catalog_upsert(spark, sf_dir):
     return cat.upsert(t.catalog(spark, sf_dir).select(*columns), new)
 
 
+def _quoted(*names: str) -> Column:
+    """One CSV record; nulls are empty."""
+    return F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.coalesce(F.col(n).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for n in names])
+
+
+def _write_csv(df: DataFrame, path: str, above: list[str]) -> None:
+    """The columns as CSV files of quoted fields, each file with the lines ``above`` and a header."""
+    top = "\n".join([*above, ",".join(df.columns)])
+
+    def with_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [top]})
+        yield from batches
+
+    df.select(_quoted(*df.columns).alias("value")).mapInPandas(with_top, "value string").write.text(path)
+
+
+@query
+def catalog_from_files(spark, sf_dir):
+    """``catalog_build`` from raw files: titles above the header, line breaks inside of fields."""
+    folder = _stream_folder(spark)
+    broken = F.concat(F.lit(" \n"), F.col("long_description"), F.lit(" \r\n\t"))
+    _write_csv(t.raw_codes(spark, sf_dir).withColumn("long_description", broken), f"{folder}/codes", [])
+    rates = t.raw_rates(spark, sf_dir).withColumn("mod", F.lit("a,\n\"b\"\n"))
+    _write_csv(rates.select("hcpcs", "mod", "work_rvu", "fac_pe_rvu", "mp_rvu", "row_no"), f"{folder}/rates", ["Rates", "", "as of today"])
+    codes = read_strings(spark, f"{folder}/codes")
+    order = [F.col(name).cast("bigint").alias(name) for name in ("file_no", "row_no")]
+    cleaned = cat.clean_codes(codes.select("hcpc", "long_description", "short_description", *order), ["file_no", "row_no"])
+    raw = read_below_preamble(spark, f"{folder}/rates").withColumn("row_no", F.col("row_no").cast("bigint"))
+    return cat.with_document(cat.build_catalog(cleaned, cat.compute_rates(raw, ["row_no"])))
+
+
 @query
 def stored_documents(spark, sf_dir):
     return cat.from_documents(t.catalog(spark, sf_dir).drop("long_description"))
@@ -236,6 +271,20 @@ def detect_anomalies(spark, sf_dir):
     )
 
 
+@query
+def all_findings(spark, sf_dir):
+    """Findings of all five kinds on monthly statements, the similarity rules by words included."""
+    lines = materialise(t.statement_lines(spark, sf_dir))
+    catalog = t.published_catalog(spark, sf_dir)
+    facts = textsearch.text_facts(lines, catalog, t.TEXT_MARGIN, t.TEXT_BAR)
+    findings = rules.detect_anomalies(
+        lines, catalog, t.bundling_pairs(spark, sf_dir), per_unit=True, fits=facts.fits, close=facts.close
+    )
+    return _flat(
+        findings.withColumn("overcharge_ratio", _ratio4(F.col("overcharge_ratio"))).drop("explanation", "suggested_action")
+    )
+
+
 # --- summaries and reports -------------------------------------------------
 
 
@@ -299,17 +348,46 @@ def letter_citations(spark, sf_dir):
     return _flat(report.letter_citations(_letters(spark, sf_dir)))
 
 
-@query
-def response_documents(spark, sf_dir):
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = materialise(_findings(spark, sf_dir))
     sizes = _bill_sizes(spark, sf_dir)
-    documents = report.to_documents(
+    return report.to_documents(
         findings,
         summary.bill_summary(findings, t.charge_lines(spark, sf_dir)),
         report.letters(findings, sizes=sizes),
         sizes=sizes,
     )
-    return _flat(documents)
+
+
+@query
+def response_documents(spark, sf_dir):
+    return _flat(_documents(spark, sf_dir))
+
+
+def _stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as JSON, one a line, and read back."""
+    folder = _stream_folder(spark)
+    keyed = _documents(spark, sf_dir)
+    keyed.write.json(f"{folder}/documents")
+    return spark.read.schema(keyed.schema).json(f"{folder}/documents")
+
+
+@query
+def response_rows(spark, sf_dir):
+    """The findings out of the stored documents."""
+    rows = report.document_rows(_stored_documents(spark, sf_dir))
+    return _flat(
+        rows.withColumn("overcharge_ratio", _ratio4(F.col("overcharge_ratio")))
+        .withColumn("words_md5", F.md5(F.concat("explanation", "suggested_action")))
+        .drop("explanation", "suggested_action")
+    )
+
+
+@query
+def response_checks(spark, sf_dir):
+    """Stored documents by what breaks their schema."""
+    checked = report.check_documents(_stored_documents(spark, sf_dir))
+    return checked.groupBy(F.array_join("violations", "; ").alias("violations")).agg(F.count("*").alias("n_documents"))
 
 
 # --- text ------------------------------------------------------------------
@@ -336,6 +414,51 @@ def redact_audit(spark, sf_dir):
     return redaction_audit(redact(t.texts(spark, sf_dir)))
 
 
+@query
+def form_texts(spark, sf_dir):
+    return redact(t.intake_forms(spark, sf_dir)).select("text_id", "n_total", *_digest("redacted_text", "text_md5"))
+
+
+@query
+def form_audit(spark, sf_dir):
+    return redaction_audit(redact(t.intake_forms(spark, sf_dir)))
+
+
+@query
+def form_audit_strict(spark, sf_dir):
+    return redaction_audit(redact(t.intake_forms(spark, sf_dir), profile="strict"), "strict")
+
+
+@query
+def bill_routes(spark, sf_dir):
+    """How far every upload comes, and what reaches the next step."""
+    routed = route_bills(t.uploaded_bills(spark, sf_dir))
+    return _flat(routed.select("bill_id", "file_type", "char_count", "n_redactions", "status", F.md5("redacted_text").alias("text_md5")))
+
+
+@query
+def gated_bills(spark, sf_dir):
+    """The same for texts that come as redacted: raw ones don't pass."""
+    bills = t.uploaded_bills(spark, sf_dir).drop("n_bytes")
+    sent = redact(bills).withColumn("text", F.when(F.col("bill_id") % 3 == 0, F.col("text")).otherwise(F.col("redacted_text")))
+    routed = route_bills(sent.select("bill_id", "text", "file_type"), redacted=True)
+    return _flat(routed.select("bill_id", "char_count", "n_redactions", "status", F.md5("redacted_text").alias("text_md5")))
+
+
+@query
+def published_texts(spark, sf_dir):
+    """What is written for others to read, and what is held back."""
+    folder = _stream_folder(spark)
+    forms = t.intake_forms(spark, sf_dir).unionByName(t.texts(spark, sf_dir).where("source = 'documents'"))
+    held = publish_redacted(forms, f"{folder}/published")
+    published = spark.read.parquet(f"{folder}/published")
+    rows = [
+        df.select(F.lit(name).alias("sink"), "source", "text_id", "n_total", F.md5("redacted_text").alias("text_md5"))
+        for name, df in (("published", published), ("held", held))
+    ]
+    return _flat(rows[0].unionByName(rows[1]))
+
+
 @query
 def leak_gate(spark, sf_dir):
     raw = with_gate(t.texts(spark, sf_dir), "text").withColumnRenamed("is_safe", "raw_is_safe")
@@ -350,6 +473,13 @@ def candidate_codes(spark, sf_dir):
     return _flat(extract.candidate_codes_of_pages(lines, ["line_no"]))
 
 
+@query
+def first_codes(spark, sf_dir):
+    """The first three codes of every bill."""
+    lines = t.charge_lines(spark, sf_dir).withColumn("text", t.line_text())
+    return _flat(extract.candidate_codes_of_pages(lines, ["line_no"], limit=3))
+
+
 def _bill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.bill_texts(t.charge_lines(spark, sf_dir), ["line_no"], t.line_text())
 
@@ -395,6 +525,21 @@ def knn_search(spark, sf_dir):
     return _flat(similarity.search_similar(vectors, known, query_key="vec_id"))
 
 
+@query
+def knn_probed(spark, sf_dir):
+    """The approximate index on all vectors: probes, compared pairs, and the recall of ``knn_search``'s rows."""
+    vectors = t.table(spark, sf_dir, "embeddings")
+    known = vectors.select(t.part_code(F.col("vec_id")).alias("code"), "embedding")
+    probed = densesearch.search_probed(vectors, known, query_key="vec_id")
+    exact = similarity.search_similar(vectors, known, query_key="vec_id").select("query_id", "code")
+    hits = exact.join(probed.matches.select("query_id", "code", F.lit(1).alias("hit")), ["query_id", "code"], "left")
+    recall = hits.agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
+    sizes = vectors.agg(F.count("*").alias("n_vectors"))
+    return probed.report.join(recall).join(sizes).select(
+        "n_vectors", "n_cells", "probes", "compared_pairs", "n_true", "n_found"
+    )
+
+
 @query
 def search_result_text(spark, sf_dir):
     vectors = t.table(spark, sf_dir, "embeddings").select(
@@ -468,13 +613,44 @@ def embed_text(spark, sf_dir):
     )
 
 
+@query
+def embedder_hook(spark, sf_dir):
+    """Vectors from an embedder of the caller's: how often each vowel occurs."""
+
+    def vowels(texts: list[str]) -> np.ndarray:
+        return np.array([[text.lower().count(letter) for letter in "aeiou"] for text in texts], dtype="float32")
+
+    embedded = similarity.embed_text(t.published_catalog(spark, sf_dir), "document", embedder=vowels)
+    return embedded.select("code", *[F.col("embedding")[i].cast("double").alias(f"n_{v}") for i, v in enumerate("aeiou")])
+
+
+@query
+def word_weights(spark, sf_dir):
+    """Sparse vectors of the catalog's search documents."""
+    weights = textsearch.word_weights(t.published_catalog(spark, sf_dir))
+    return weights.select("code", "word", F.round("weight", 6).alias("weight"))
+
+
 @query
 def description_match(spark, sf_dir):
     """Every charged description matched to the catalog by its words."""
-    matched = similarity.best_matches(t.charge_lines(spark, sf_dir), t.published_catalog(spark, sf_dir))
+    matched = textsearch.best_matches(t.charge_lines(spark, sf_dir), t.published_catalog(spark, sf_dir))
     return matched.select("description", "code", "similarity_score")
 
 
+@query
+def search_text(spark, sf_dir):
+    """The five best codes for the wordings of parts and for customers' names; some are blank."""
+    found = textsearch.search_text(t.wordings(spark, sf_dir), t.published_catalog(spark, sf_dir))
+    return _flat(found.select("query_key", "status", "code", "similarity_score", "rank"))
+
+
+@query
+def search_text_cost(spark, sf_dir):
+    """How many pairs of texts and codes the search compares."""
+    return textsearch.search_cost(t.wordings(spark, sf_dir), t.published_catalog(spark, sf_dir))
+
+
 # --- records, files, events ------------------------------------------------
 
 
@@ -496,6 +672,56 @@ def record_violations(spark, sf_dir):
     )
 
 
+def _by_violation(df: DataFrame, name: str, tests: tuple) -> DataFrame:
+    checked = checks.with_violations(df, tests)
+    return checked.groupBy(F.lit(name).alias("record"), F.array_join("violations", "; ").alias("violations")).agg(
+        F.count("*").alias("n_records")
+    )
+
+
+@query
+def typed_violations(spark, sf_dir):
+    """Bills, catalog records, findings and summaries by the checks they fail."""
+    orders = t.table(spark, sf_dir, "orders")
+    bills = orders.select(
+        F.when(F.col("o_custkey") % 9 != 0, F.col("o_orderpriority")).alias("redacted_text"),
+        F.when(F.col("o_orderstatus") == "F", "pdf").when(F.col("o_orderstatus") == "O", "image").otherwise("gif").alias("file_type"),
+        (F.col("o_custkey") - 20).alias("char_count"),
+    )
+    records = t.table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 8 != 0, F.col("c_name")).alias("code"),
+        F.col("c_acctbal").alias("medicare_reference_price"),
+        (F.col("c_nationkey") - 3).alias("total_rvu"),
+        ((F.col("c_nationkey") - 2) / 20).alias("similarity_score"),
+    )
+    findings = orders.select(
+        F.col("o_orderpriority").alias("description"),
+        (F.col("o_custkey") % 5).alias("quantity"),
+        (F.col("o_totalprice") - 20000).alias("billed_amount"),
+        F.when(F.col("o_custkey") % 3 == 0, "upcoding").otherwise("other").alias("anomaly_type"),
+        F.when(F.col("o_custkey") % 4 == 0, "info").otherwise("none").alias("severity"),
+        F.when(F.col("o_custkey") % 7 != 0, F.lit("e")).alias("explanation"),
+        F.lit("a").alias("suggested_action"),
+        (F.col("o_totalprice") - 9000).alias("medicare_reference_price"),
+        F.when(F.col("o_custkey") % 2 == 0, F.lit(-1.0)).alias("overcharge_ratio"),
+    )
+    totals = orders.groupBy("o_custkey").agg(
+        (F.count("*") - 9).alias("total_line_items"),
+        (F.sum("o_totalprice") - 200000).alias("total_billed_amount"),
+        F.count_if(F.col("o_orderstatus") == "F").alias("anomaly_count"),
+        (F.count_if(F.col("o_orderstatus") == "F") - 3).alias("high_severity_count"),
+        F.lit(0).alias("medium_severity_count"),
+        F.lit(None).cast("double").alias("potential_overcharge_total"),
+    )
+    parts = [
+        _by_violation(bills, "bill", checks.BILL_CHECKS),
+        _by_violation(records, "record", checks.RECORD_CHECKS),
+        _by_violation(findings, "finding", checks.FINDING_CHECKS),
+        _by_violation(totals, "summary", checks.SUMMARY_CHECKS),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON report of two findings per line; some fields and reports broken."""
     quote = F.when(F.col("l_returnflag") == "N", "").otherwise('"')
@@ -594,6 +820,99 @@ def stream_redact(spark, sf_dir):
     return safe.select("doc_id", "n_total", *_digest("redacted_text", "text_md5"))
 
 
+def _sinks(spark: SparkSession, sf_dir: str, gate_profile: str) -> str:
+    """Folder with the three sinks of the redaction of all documents."""
+    folder = _stream_folder(spark)
+    jobs.stream_redact(
+        _stream(spark, sf_dir, "documents").select("doc_id", "text"),
+        f"{folder}/safe",
+        f"{folder}/held",
+        f"{folder}/checkpoint",
+        profile="parity",
+        gate_profile=gate_profile,
+        counts_path=f"{folder}/counts",
+    ).awaitTermination()
+    return folder
+
+
+@query
+def stream_redact_sinks(spark, sf_dir):
+    """Both sinks of the redaction, behind the strict gate."""
+    folder = _sinks(spark, sf_dir, "strict")
+    sinks = [
+        jobs.committed(spark, f"{folder}/{name}", f"{folder}/counts").select(F.lit(name).alias("sink"), "doc_id", "n_total")
+        for name in ("safe", "held")
+    ]
+    return _flat(sinks[0].unionByName(sinks[1]))
+
+
+@query
+def stream_redact_counts(spark, sf_dir):
+    return jobs.label_counts(spark, f"{_sinks(spark, sf_dir, 'parity')}/counts", "parity")
+
+
+def _arrive(
+    rows: DataFrame,
+    folder: str,
+    beat: dict[str, Column],
+    start: Callable[[DataFrame], StreamingQuery],
+    slots: int = 3,
+    lag_days: int = 2,
+) -> None:
+    """Let ``rows(ts, ...)`` arrive in a few batches, up to ``lag_days`` days late, each taken in by a run of its own.
+
+    ``start`` starts the job on the stream; every run goes on from the checkpoint of the one
+    before. The last batch is a heartbeat: one row far ahead in time, so that the watermark
+    passes all others.
+    """
+    spark = rows.sparkSession
+    late = F.pmod(F.xxhash64(*rows.columns), F.lit(lag_days + 1))
+    rows = materialise(rows.withColumn("_arrival", F.unix_seconds(F.date_trunc("day", "ts")) + late * 86_400))
+    first, last = (value or 0 for value in rows.agg(F.min("_arrival"), F.max("_arrival")).first())
+    step = -(-(last + 1 - first) // slots)
+    schema = rows.drop("_arrival").schema
+    ahead = F.timestamp_seconds(F.lit(last + 400 * 86_400))
+    columns = {f.name: F.lit(None) for f in schema.fields} | beat | {"ts": ahead}
+    beats = spark.range(1).select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+    slot_of = F.floor((F.col("_arrival") - first) / step)
+    for batch in [*[rows.where(slot_of == slot).drop("_arrival") for slot in range(slots)], beats]:
+        batch.write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(schema).parquet(f"{folder}/in")).awaitTermination()
+
+
+@query
+def stream_throttle(spark, sf_dir):
+    """``throttle_audit`` on a stream of events out of order."""
+    folder = _stream_folder(spark)
+    events = t.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        over = jobs.throttle_audit(stream, limit=5, window="1 day", watermark="3 days")
+        return jobs.write_windows(over, f"{folder}/out", f"{folder}/checkpoint")
+
+    _arrive(events, folder, {}, start)
+    found = spark.read.parquet(f"{folder}/out")
+    return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+@query
+def stream_duplicate_charge(spark, sf_dir):
+    """``duplicate_charge`` on a stream of lines out of order."""
+    folder = _stream_folder(spark)
+    lines = t.patient_lines(spark, sf_dir).withColumn("ts", F.to_timestamp("service_date", "MM/dd/yyyy"))
+    beat = {"patient_id": F.lit(-1), "code": F.lit(""), "bill_id": F.lit(-1), "line_no": F.lit(0)}
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        found = jobs.stream_duplicate_charges(stream, ("patient_id", "code"), watermark="3 days", shards=16)
+        return jobs.write_windows(found, f"{folder}/out", f"{folder}/checkpoint")
+
+    with jobs.rocksdb_state(spark):
+        _arrive(lines, folder, beat, start)
+    return spark.read.parquet(f"{folder}/out").select(
+        "bill_id", "line_no", "code", "service_date", "severity", "related"
+    )
+
+
 @query
 def stream_prices(spark, sf_dir):
     folder = _stream_folder(spark)

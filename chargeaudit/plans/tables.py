@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Similarity from which a line without a code counts as known; scores lie on both sides.
 UNCODED_BAR = 0.35
 
+# Score from which a description counts as found in the catalog, and how much better a cheaper
+# code has to fit; texts differ from documents by the code, so scores stay below 0.6.
+TEXT_BAR = 0.46
+TEXT_MARGIN = 0.05
+
 # Numbers of four signs in base 36 that begin with a letter: A000 to ZZZZ.
 LETTERED_FROM = 10 * 36**3
 LETTERED = 26 * 36**3
@@ -205,6 +210,29 @@ def patient_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charge lines of monthly statements, one bill for each patient, on which all five kinds of findings occur.
+
+    The service is described as the part; the code billed is one of the first thousand parts',
+    so many descriptions fit other codes better.
+    """
+    billed = (F.col("l_partkey") % 1000 + 1).alias("l_partkey")
+    items = table(spark, sf_dir, "lineitem")
+    parts = table(spark, sf_dir, "part").select("p_partkey", part_description().alias("description"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    named = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    others = [F.col(name) for name in items.columns if name != "l_partkey"]
+    return named.select(*others, billed, "description", "o_custkey").select(
+        F.col("o_custkey").alias("bill_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"),
+        charge_code().alias("code"),
+        "description",
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+        F.when(F.col("l_quantity") > 1, F.col("l_extendedprice")).alias("billed_amount"),
+        F.date_format(F.date_trunc("month", "l_shipdate"), "MM/dd/yyyy").alias("service_date"),
+    )
+
+
 def bundling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bundling table: every part contains the part with the next key."""
     return table(spark, sf_dir, "part").select(
@@ -242,6 +270,66 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.unionByName(pages).unionByName(talks)
 
 
+def wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to search for: parts in other words, small parts without any, and customers' names."""
+    parts = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("query_key"),
+        F.when(F.col("p_size") < 3, F.lit(" \t"))
+        .otherwise(F.concat_ws(" ", F.lower("p_type"), "p_name", F.lit("no."), F.col("p_size").cast("string")))
+        .alias("text"),
+    )
+    customers = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("query_key"), F.col("c_name").alias("text")
+    )
+    return parts.unionByName(customers)
+
+
+# Words that forms are filled in with, picked by key.
+GIVEN_NAMES = ("Ada", "Boris", "Carla", "Dmitri", "Elena", "Farid", "Greta")
+FAMILY_NAMES = ("Abbott", "Brandt", "Castillo", "Dubois", "Eklund")
+STREETS = ("Oak", "Linden", "Harbour", "Mill")
+
+
+def _chosen(words: tuple[str, ...], key: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(word) for word in words]), (key % len(words) + 1).cast("int"))
+
+
+def intake_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One form for each customer with labelled personal data of every kind, some fields left out."""
+    key = F.col("c_custkey")
+    digits = lambda factor, width: F.lpad(((key * factor + 17) % 10**width).cast("string"), width, "0")
+    name = F.concat_ws(" ", _chosen(GIVEN_NAMES, key), _chosen(FAMILY_NAMES, key))
+    lines = [
+        F.concat(F.lit("Patient Name: "), name),
+        F.when(key % 2 == 0, F.concat(F.lit("SSN: "), digits(7, 3), F.lit("-"), digits(11, 2), F.lit("-"), digits(13, 4))),
+        F.when(key % 3 == 0, F.concat(F.lit("id "), digits(19, 3), F.lit("-"), digits(23, 2), F.lit("-"), digits(29, 4))),
+        F.when(key % 2 == 1, F.concat(F.lit("Medicare ID: 1EG4-TE5-MK"), digits(31, 2))),
+        F.concat(F.lit("Member ID: ZX"), digits(37, 7)),
+        F.when(key % 5 != 0, F.concat(F.lit("DOB: 0"), (key % 9 + 1).cast("string"), F.lit("/1"), (key % 9).cast("string"), F.lit("/19"), digits(41, 2))),
+        F.concat((key % 9000 + 10).cast("string"), F.lit(" "), _chosen(STREETS, key), F.lit(" Street, Apt "), (key % 40).cast("string")),
+        F.concat(F.lit("Phone ("), digits(43, 3), F.lit(") "), digits(47, 3), F.lit("-"), digits(53, 4)),
+        F.concat(F.lit("Mail c"), key.cast("string"), F.lit("@clinic.example")),
+        F.when(key % 4 == 0, F.concat(F.lit("Card 4"), digits(59, 3), F.lit(" "), digits(61, 4), F.lit(" "), digits(67, 4), F.lit(" "), digits(71, 4))),
+        F.when(key % 7 == 0, F.concat(F.lit("From 10."), (key % 256).cast("string"), F.lit(".0.1"))),
+        F.lit("Balance due on 01/15/2025 for 99213"),
+    ]
+    return table(spark, sf_dir, "customer").select(
+        F.lit("forms").alias("source"), key.alias("text_id"), F.lit(0).cast("bigint").alias("turn"), F.concat_ws("\n", *lines).alias("text")
+    )
+
+
+def uploaded_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms as uploads; some are blank, short, too large or of the wrong type."""
+    key = F.col("text_id")
+    text = F.when(key % 17 == 0, F.lit(" \n")).when(key % 19 == 0, F.lit("Mail x@y.example")).otherwise(F.col("text"))
+    return intake_forms(spark, sf_dir).select(
+        key.alias("bill_id"),
+        text.alias("text"),
+        F.when(key % 11 == 0, "gif").when(key % 2 == 0, "image").otherwise("pdf").alias("file_type"),
+        F.when(key % 13 == 0, F.lit(10 * 1024 * 1024 + 1)).otherwise(F.lit(10 * 1024 * 1024)).cast("bigint").alias("n_bytes"),
+    )
+
+
 def with_vectors(spark: SparkSession, sf_dir: str, codes: DataFrame) -> DataFrame:
     """Catalog records with a vector each: parts and suppliers share the stored ones in turn by key."""
     vectors = table(spark, sf_dir, "embeddings")

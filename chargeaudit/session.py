@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +52,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once so that several consumers see the very same rows.
+    """Write ``df`` once as Parquet so that several consumers see the very same rows.
 
-    The result is read back from reliable storage, so a lost executor costs a
-    re-read and not a recomputation.
+    The result is read back from reliable storage, so a lost executor costs a re-read and not
+    a recomputation, and a consumer reads only the columns it needs.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_BYTES = 64 * 1024 * 1024

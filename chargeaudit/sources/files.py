@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import csv
+import warnings
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chargeaudit import constants as c
-from chargeaudit.functions.text import normalise_header
-from chargeaudit.operators.catalog import resolve_column
+from chargeaudit.functions.text import join_ordered, normalise_header
+from chargeaudit.operators.catalog import resolve_columns
+from chargeaudit.operators.numbering import top_per_key
+from chargeaudit.session import materialise
 
 
 def numbered_names(names: Sequence[str]) -> list[str]:
@@ -24,24 +28,15 @@ def numbered_names(names: Sequence[str]) -> list[str]:
     return out
 
 
-def read_strings(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, all columns as text, header names normalised."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
-    return raw.toDF(*numbered_names([normalise_header(name) for name in raw.columns]))
+def read_strings(spark: SparkSession, path: str, order: bool = False) -> DataFrame:
+    """CSV with a header in every file, all columns as text, header names normalised.
 
-
-def with_file_order(df: DataFrame) -> DataFrame:
-    """Add the position of a row in its files, for first-row-wins cleaning.
-
-    Row ids grow with the partition and, inside it, with the row; splits of a
-    file are read in order of file name and offset.
+    With ``order``, ``row_id`` tells the order of the rows of a file.
     """
-    return df.select(
-        "*",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("file_block"),
-        F.monotonically_increasing_id().alias("row_in_block"),
-    )
+    lines = numbered_lines(spark, path, "UTF-8")
+    tops = {row.file: row for row in _leading(lines, 1)}
+    rows = _parsed(lines, {file: (row.line, row.value) for file, row in tops.items()}, path)
+    return rows if order else rows.drop("row_id")
 
 
 def read_below_preamble(
@@ -52,47 +47,135 @@ def read_below_preamble(
     fallback: int = c.PREAMBLE_FALLBACK_LINE,
     encoding: str = "ISO-8859-1",
 ) -> DataFrame:
-    """CSV file whose header follows some title lines, all columns as text.
+    """CSV files whose header follows some title lines, all columns as text.
 
-    The header is the first of ``scan`` lines that holds all ``markers``, else
-    line ``fallback`` counted from 0. Only those lines reach the driver; the
-    rows are split and parsed by Spark. ``row_id`` keeps the order of the file.
-    Records must not span lines.
+    The header of a file is the first of its ``scan`` lines that holds all ``markers``, else,
+    with a warning, line ``fallback`` counted from 0. Only those lines reach the driver; the
+    rows are split and parsed by Spark. ``row_id`` keeps the order of the rows of a file.
     """
-    lines = spark.read.text(path).select(
-        F.decode(F.col("value").cast("binary"), encoding).alias("value"),
+    lines = numbered_lines(spark, path, encoding)
+    wanted = [marker.upper() for marker in markers]
+    tops: dict[str, list] = {}
+    for row in _leading(lines, scan):
+        tops.setdefault(row.file, []).append(row)
+    headers = {}
+    for file, rows in tops.items():
+        named = [row for row in rows if all(marker in row.value.upper() for marker in wanted)]
+        if not named:
+            if len(rows) <= fallback:
+                raise ValueError(f"no header found in {file}")
+            warnings.warn(f"no header with {', '.join(markers)} in {file}: line {fallback} is taken", stacklevel=2)
+        row = named[0] if named else rows[fallback]
+        headers[file] = (row.line, row.value)
+    return _parsed(lines, headers, path)
+
+
+def numbered_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """(file, block, line, value): the lines of all files; ``line`` grows inside a block of a file."""
+    # Without a line break of its own choice the reader would take line breaks in quotes apart.
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row_id"),
+        F.monotonically_increasing_id().alias("line"),
+        F.decode(F.col("value").cast("binary"), encoding).alias("value"),
     )
-    top = lines.where("block = 0").orderBy("row_id").limit(scan).collect()
-    wanted = [marker.upper() for marker in markers]
-    header = next(
-        (row for row in top if all(marker in row.value.upper() for marker in wanted)),
-        None,
+    # Written once: the numbers of the lines depend on how a scan deals its files out.
+    return materialise(lines)
+
+
+def _leading(lines: DataFrame, count: int) -> list:
+    """The first ``count`` lines of every file, in order: a few rows for each file."""
+    first = lines.where("block = 0").withColumn("value", F.rtrim(F.col("value"), F.lit("\r")))
+    return top_per_key(first, ["file"], ["line"], count, "_n").orderBy("file", "line").collect()
+
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """(file, row_id, value): records out of lines, though quoted line breaks run through them.
+
+    A line is inside of quotes if the quotes before it are odd in number. Each block of a file
+    counts its quotes, the sums over the blocks before give where a block starts, and inside a
+    block the lines are counted on; so the file is read in blocks like any other. Only lines
+    that hold a part of a record are brought together. A quote that never closes is an error.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    counted = lines.withColumn("quotes", quotes)
+    blocks = Window.partitionBy("file").orderBy("block")
+    ahead = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.groupBy("file", "block").agg(F.sum("quotes").alias("sum")).select(
+        "file",
+        "block",
+        F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("before"),
+        (F.sum("sum").over(Window.partitionBy("file")) % 2).alias("open"),
     )
-    if header is None:
-        if len(top) <= fallback:
-            raise ValueError(f"no header found in {path}")
-        header = top[fallback]
-    names = numbered_names([normalise_header(name) for name in next(csv.reader([header.value]))])
-    fields = ", ".join(f"c{i} string" for i in range(len(names)))
-    return (
-        lines.where((F.col("row_id") > header.row_id) & (F.trim("value") != ""))
-        .select("row_id", F.from_csv("value", fields, {"mode": "PERMISSIVE"}).alias("cells"))
-        .select("row_id", *[F.col(f"cells.c{i}").alias(name) for i, name in enumerate(names)])
+    before = materialise(before)  # one row for each block of a file
+    broken = before.where("open = 1").select("file").first()
+    if broken is not None:
+        raise ValueError(f"a quote never closes in {broken.file}")
+    inside = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.join(F.broadcast(before.drop("open")), ["file", "block"]).withColumn(
+        "after", F.col("before") + F.sum("quotes").over(inside)
+    )
+    row_id = F.struct("block", "line")
+    starts = (F.col("after") - F.col("quotes")) % 2 == 0
+    parts = placed.select(
+        "file",
+        "block",
+        "line",
+        row_id.alias("row_id"),
+        "value",
+        (starts & (F.col("after") % 2 == 0)).alias("whole"),
+        F.max(F.when(starts, row_id)).over(inside).alias("start"),
     )
+    parts = materialise(parts)
+    whole = parts.where("whole").select("file", "row_id", "value")
+    # A part belongs to the last record that started before it, maybe some blocks back.
+    carried = materialise(
+        parts.groupBy("file", "block")
+        .agg(F.max("start").alias("last"))
+        .select("file", "block", F.max("last").over(ahead).alias("carried"))
+    )
+    joined = (
+        parts.where("not whole")
+        .join(F.broadcast(carried), ["file", "block"])
+        .groupBy("file", F.coalesce("start", "carried").alias("record"))
+        .agg(join_ordered(F.col("row_id"), F.col("value"), "\n").alias("value"))
+        .select("file", F.col("record").alias("row_id"), "value")
+    )
+    return whole.unionByName(joined)
+
 
+def _parsed(lines: DataFrame, headers: dict[str, tuple[int, str]], path: str) -> DataFrame:
+    """Rows below the header of each file as text columns, with ``row_id``.
 
-def read_codes(spark: SparkSession, path: str) -> DataFrame:
+    Files with the same header are parsed together; a column that some files lack is null there.
+    """
+    if not headers:
+        raise ValueError(f"no header found in {path}")
+    spark = lines.sparkSession
+    below = spark.createDataFrame([(file, line) for file, (line, _) in headers.items()], "file string, _header long")
+    kept = lines.join(F.broadcast(below), "file").where((F.col("block") > 0) | (F.col("line") > F.col("_header")))
+    records = whole_records(kept.drop("_header")).withColumn("value", F.rtrim(F.col("value"), F.lit("\r")))
+    records = records.where(F.trim("value") != "")
+    files: dict[str, list[str]] = {}
+    for file, (_, header) in headers.items():
+        files.setdefault(header, []).append(file)
+    tables = []
+    for header, own in files.items():
+        names = numbered_names([normalise_header(name) for name in next(csv.reader([header]))])
+        fields = ", ".join(f"c{i} string" for i in range(len(names)))
+        mine = records if len(files) == 1 else records.where(F.col("file").isin(own))
+        cells = F.from_csv("value", fields, {"mode": "PERMISSIVE", "escape": '"', "multiLine": "true"}).alias("cells")
+        tables.append(
+            mine.select("row_id", cells).select("row_id", *[F.col(f"cells.c{i}").alias(name) for i, name in enumerate(names)])
+        )
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def read_codes(spark: SparkSession, path: str, order: bool = False) -> DataFrame:
     """Code list: code, long and short description as text."""
-    raw = read_strings(spark, path)
-    return raw.select(
-        F.col(resolve_column(raw, ["hcpc", "code"])).alias("code"),
-        F.col(resolve_column(raw, ["long_description", "long_desc", "description"])).alias(
-            "long_description"
-        ),
-        F.col(resolve_column(raw, ["short_description", "short_desc"])).alias("short_description"),
-    )
+    raw = read_strings(spark, path, order)
+    columns = resolve_columns(raw, c.CODE_LIST_COLUMNS)
+    return raw.select(*(["row_id"] if order else []), *[value.alias(name) for name, value in columns.items()])
 
 
 def file_kind(content: Column) -> Column:

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from chargeaudit.operators import checks, extract
 from chargeaudit.operators.catalog import build_catalog, compute_rates, require_columns, with_document
 from chargeaudit.plans.audit import audit_bills
 from chargeaudit.sources.files import classify_files, numbered_names, read_below_preamble, read_strings
-from chargeaudit.sources.tables import catalog_readiness, publish_catalog
+from chargeaudit.sources.tables import catalog_readiness, current_version, publish_catalog, read_catalog
 from chargeaudit.streaming import jobs
 
 CODE_TABLE = "code string, long_description string, short_description string"
@@ -73,6 +75,36 @@ def test_raw_files(spark, tmp_path):
         require_columns(raw, ["y"])
 
 
+def test_records_across_lines_and_blocks(spark, tmp_path):
+    rng = random.Random(4)
+    cells = ["plain", 'say ""hi""', "two\nlines", "a,b", "\n\n", "é", "x" * 40, "", "cr\r\nlf", '""']
+    rows = [[str(i), rng.choice(cells), rng.choice(cells)] for i in range(400)]
+    for name in ("a", "b"):
+        body = "".join(",".join(f'"{v}"' for v in row) + ("\r\n" if name == "b" else "\n") for row in rows)
+        head = "Title\n\nHCPCS,MOD,Text\n" if name == "a" else "HCPCS,Text,MOD\n"
+        (tmp_path / f"{name}.csv").write_bytes((head + body).encode("latin-1"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "777b")
+    try:
+        raw = read_below_preamble(spark, str(tmp_path))
+        assert raw.columns == ["row_id", "hcpcs", "mod", "text"]
+        ours = [(r.hcpcs, r.mod, r.text) for r in raw.orderBy("hcpcs").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    clean = [[v.replace('""', '"') for v in row] for row in rows]
+    expected = [tuple(v or None for v in row) for row in clean] + [(i or None, b or None, a or None) for i, a, b in clean]
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(ours, key=key) == sorted(expected, key=key)
+    ordered = [r.hcpcs for r in read_below_preamble(spark, str(tmp_path / "a.csv")).orderBy("row_id").collect()]
+    assert ordered == [str(i) for i in range(400)]
+    (tmp_path / "open.csv").write_text('HCPCS,MOD\n1,"x\n2,y\n')
+    with pytest.raises(ValueError, match="never closes"):
+        read_below_preamble(spark, str(tmp_path / "open.csv"))
+    (tmp_path / "none.csv").write_text("\n".join(f"a{i},b" for i in range(12)))
+    with pytest.warns(UserWarning, match="line 9"):
+        assert read_below_preamble(spark, str(tmp_path / "none.csv")).columns == ["row_id", "a9", "b"]
+
+
 def test_uploads(spark, tmp_path):
     for name, data in {
         "a.pdf": b"%PDF-1.7 x", "b.jpg": b"\xff\xd8\xff\xe0", "c.png": b"\x89PNG\r\n\x1a\n", "d.pdf": b"<html>",
@@ -102,6 +134,21 @@ def test_publication(spark, tmp_path):
     assert publish_catalog(_catalog(spark, [("X", 9.0)]), path).count() == 3
 
 
+def test_no_upsert_of_several_writers_is_lost(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    publish_catalog(_catalog(spark, [("A", 1.0)]), path)
+
+    def write(writer):
+        for n in range(3):
+            publish_catalog(_catalog(spark, [(f"W{writer}{n}", float(n)), ("A", float(writer))]), path, "upsert")
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(write, range(3)))
+    rows = read_catalog(spark, path).collect()
+    assert sorted(r.code for r in rows) == ["A", *[f"W{w}{n}" for w in range(3) for n in range(3)]]
+    assert current_version(spark, path).endswith("version-000000000010")
+
+
 def test_streams_equal_batch(spark, tmp_path):
     start = dt.datetime(2025, 1, 1)
     rows = [(n % 3, "99213", start + dt.timedelta(seconds=40 * n)) for n in range(60)]
