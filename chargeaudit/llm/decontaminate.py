@@ -126,7 +126,7 @@ def _rolled(words: list[int], marked: list[bool], size: int) -> Iterator[tuple[i
 
 
 def bench_seeds(items: DataFrame, least: int) -> DataFrame:
-    """(item_id, words, seeds) of every item with at least ``least`` words."""
+    """(item_id, words, seeds, times) of every item with at least ``least`` words; ``times`` counts each seed's places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -135,18 +135,20 @@ def bench_seeds(items: DataFrame, least: int) -> DataFrame:
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = hashed_words(text, known)
                 if item is not None and len(ids) >= least:
-                    rows.append((item, ids.view(np.int64), np.unique(seeds_of(ids, least)).view(np.int64)))
+                    own, times = np.unique(seeds_of(ids, least), return_counts=True)
+                    rows.append((item, ids.view(np.int64), own.view(np.int64), times))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.list_(pa.int64())),
                     pa.array([r[2] for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[3] for r in rows], pa.list_(pa.int64())),
                 ],
-                ["item_id", "words", "seeds"],
+                ["item_id", "words", "seeds", "times"],
             )
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "item_id long, words array<long>, seeds array<long>")
+    return rows.mapInArrow(run, "item_id long, words array<long>, seeds array<long>, times array<long>")
 
 
 def seed_bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
@@ -217,14 +219,15 @@ def _tile_pairs(least: int, coverage: float):
 def leaks(documents: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, bits: int = BITS) -> DataFrame:
     """(doc_id, item_id, n_tiles, n_covered, n_item_words) of every item found in a document."""
     items = written(bench_seeds(benchmark, least), "items").dropDuplicates(["item_id", "words"])
-    seeds = items.select("item_id", F.size("words").alias("_size"), F.explode("seeds").alias("seed"))
+    counted = F.explode(F.arrays_zip(F.col("seeds").alias("seed"), F.col("times").alias("places"))).alias("s")
+    seeds = items.select("item_id", F.size("words").alias("_size"), counted).select("item_id", "_size", "s.seed", "s.places")
     places = written(seed_stretches(documents, seed_bitmap(seeds, bits), bits, least), "stretches").dropDuplicates(["doc_id", "words"])
     places = places.withColumn("_text", F.xxhash64("words"))
     hits = places.select("doc_id", "_text", F.explode("seeds").alias("seed"))
     shared = beside(hits, seeds, ["seed"]).groupBy("doc_id", "_text", "item_id").agg(
-        F.count("*").alias("_shared"), F.first("_size").alias("_size")
+        F.sum("places").alias("_shared"), F.first("_size").alias("_size")
     )
-    # a tile of n words holds n - least + 1 seeds, so seeds bound what tiles can cover
+    # tiles cover words that stand in a place of a shared seed, and a place has ``least`` words
     pairs = shared.where(F.col("_shared") * least >= F.col("_size") * coverage).select("doc_id", "_text", "item_id")
     full = pairs.join(places.select("doc_id", "_text", "words"), ["doc_id", "_text"])
     full = beside(full, items.select("item_id", F.col("words").alias("item_words")), ["item_id"])

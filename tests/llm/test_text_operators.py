@@ -121,6 +121,15 @@ def test_reordered_passages_are_found(spark):
     assert decontaminate.leaks(repeated, items).count() == 3
 
 
+@pytest.mark.parametrize("period", [1, 2, 5, 7, 30])
+def test_items_that_repeat_themselves_are_found_whole(spark, period):
+    item = " ".join(f"word{i % period}" for i in range(60))
+    docs = _docs(spark, [item, f"before. {item} after", " ".join(item.split()[:20]), "other words"])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.doc_id: r.n_covered for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {0: 60, 1: 60}
+
+
 def test_leaks_of_the_smallest_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     known = decontaminate._Words()
