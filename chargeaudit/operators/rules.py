@@ -278,9 +278,15 @@ def _say(*parts: Column | str) -> Column:
 
 def with_explanations(findings: DataFrame) -> DataFrame:
     """Explanation and suggested action, worded from the finding's own facts."""
+    # Worded once each: the sentences below name them many times.
+    words = {
+        "_billed": F.coalesce(F.concat(F.lit("$"), fixed(F.col("billed_amount"), 2)), F.lit("an unreadable amount")),
+        "_ratio_text": fixed(F.col("overcharge_ratio"), 1),
+        "_price_text": fixed(F.col("medicare_reference_price"), 2),
+    }
     code = F.coalesce("code", F.lit("(none)"))
     date = F.coalesce("service_date", F.lit("unknown"))
-    billed = F.coalesce(F.concat(F.lit("$"), fixed(F.col("billed_amount"), 2)), F.lit("an unreadable amount"))
+    billed = F.col("_billed")
     kind = F.col("anomaly_type")
     no_code = F.col("code").isNull()
     summary_bill = F.coalesce(F.col("related") == "summary bill", F.lit(False))
@@ -293,8 +299,7 @@ def with_explanations(findings: DataFrame) -> DataFrame:
             kind == "price_overcharge",
             _say(
                 "Code ", code, " was billed at ", billed, ", which is ",
-                fixed(F.col("overcharge_ratio"), 1), "x the Medicare reference rate of $",
-                fixed(F.col("medicare_reference_price"), 2), ".",
+                F.col("_ratio_text"), "x the Medicare reference rate of $", F.col("_price_text"), ".",
             ),
         )
         .when(
@@ -345,7 +350,8 @@ def with_explanations(findings: DataFrame) -> DataFrame:
             _say("Request an itemized bill and ask your provider to explain the charge for code ", code, ".")
         )
     )
-    return findings.withColumn("explanation", explanation).withColumn("suggested_action", action)
+    worded = findings.withColumns(words).withColumns({"explanation": explanation, "suggested_action": action})
+    return worded.drop(*words)
 
 
 def _finding(kind: str, severity: Column | str, when: Column, **facts: Column) -> Column:

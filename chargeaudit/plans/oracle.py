@@ -729,30 +729,18 @@ SQL["stream_redact"] = f"""with texts as (select 'documents' as source, doc_id a
         select text_id as doc_id, cast(n_total as bigint) as n_total, length(t0) as n_chars, md5(t0) as text_md5 from redacted
         where not ({_any_match('t0', 'parity')})"""
 SQL["stream_prices"] = SQL["price_overcharge"]
-SQL["stream_redact_sinks"] = f"""with texts as (select 'documents' as source, doc_id as text_id, 0 as turn, text from documents),
-        {_redaction('parity')}
-        select case when {_any_match('t0', 'strict', 3)} then 'held' else 'safe' end as sink,
-               text_id as doc_id, cast(n_total as bigint) as n_total from redacted"""
-SQL["stream_redact_counts"] = f"""with texts as (select 'documents' as source, doc_id as text_id, 0 as turn, text from documents),
-        {_redaction('parity')} {_label_rows('parity')}"""
 SQL["stream_throttle"] = SQL["throttle_audit"]
 SQL["stream_duplicate_charge"] = SQL["duplicate_charge"]
 
 SQL["all_findings"] = f"""with {CATALOG},{WORD_VECTORS},
-        named as (
-          select l_orderkey as o, l_linenumber as n, l_partkey as p, l_suppkey as s, any_value({DESCRIPTION}) as description,
-                 any_value(o_custkey) as patient
-          from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey group by all),
         charged as (
-          select l.*, c.code from lineitem l
-          join (select l_orderkey, l_linenumber, orig, l_suppkey, {CHARGE_CODE} as code
-                from (select * replace (l_partkey % 1000 + 1 as l_partkey), l_partkey as orig from lineitem)) c
-            on c.l_orderkey = l.l_orderkey and c.l_linenumber = l.l_linenumber and c.orig = l.l_partkey and c.l_suppkey = l.l_suppkey),
+          select l.* replace (l.l_partkey % 1000 + 1 as l_partkey), {DESCRIPTION} as description, o_custkey
+          from lineitem l join part on l.l_partkey = p_partkey join orders on l.l_orderkey = o_orderkey),
         lines as (
-          select patient as bill_id, l_orderkey * 10 + l_linenumber as line_no, code, description,
+          select o_custkey as bill_id, l_orderkey * 10 + l_linenumber as line_no, {CHARGE_CODE} as code, description,
                  cast(l_quantity as bigint) as quantity, case when l_quantity > 1 then l_extendedprice end as billed_amount,
                  strftime(date_trunc('month', l_shipdate), '%m/%d/%Y') as service_date
-          from charged join named on o = l_orderkey and n = l_linenumber and p = l_partkey and s = l_suppkey),
+          from charged),
         {PAIRS},{_priced('priced', True)},{UNKNOWN},
         days as (
           select *, strptime(service_date, '%m/%d/%Y')::date as day from lines where code is not null),
@@ -821,6 +809,7 @@ def _forms() -> str:
         case when c_custkey % 4 = 0
           then 'Card 4' || {digits(59, 3)} || ' ' || {digits(61, 4)} || ' ' || {digits(67, 4)} || ' ' || {digits(71, 4)} end,
         case when c_custkey % 7 = 0 then 'From 10.' || (c_custkey % 256) || '.0.1' end,
+        case when c_custkey % 6 = 0 then 'Ref ' || {digits(73, 10)} end,
         'Balance due on 01/15/2025 for 99213') as text
       from customer)"""
 
@@ -894,3 +883,7 @@ SQL["typed_violations"] = " union all ".join([
         ("total_line_items must not be negative", "l < 0"), ("total_billed_amount must not be negative", "b < 0"),
         ("high_severity_count must not be negative", "h < 0")]),
 ])
+SQL["stream_redact_sinks"] = f"""with {_forms()},{_redaction('parity')}
+        select case when {_any_match('t0', 'strict', 3)} then 'held' else 'safe' end as sink,
+               text_id, cast(n_total as bigint) as n_total from redacted"""
+SQL["stream_redact_counts"] = f"with {_forms()},{_redaction('parity')} {_label_rows('parity')}"

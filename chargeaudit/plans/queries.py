@@ -821,10 +821,10 @@ def stream_redact(spark, sf_dir):
 
 
 def _sinks(spark: SparkSession, sf_dir: str, gate_profile: str) -> str:
-    """Folder with the three sinks of the redaction of all documents."""
+    """Folder with the three sinks of the redaction of all forms."""
     folder = _stream_folder(spark)
     jobs.stream_redact(
-        _stream(spark, sf_dir, "documents").select("doc_id", "text"),
+        t.forms_of(_stream(spark, sf_dir, "customer")),
         f"{folder}/safe",
         f"{folder}/held",
         f"{folder}/checkpoint",
@@ -840,7 +840,7 @@ def stream_redact_sinks(spark, sf_dir):
     """Both sinks of the redaction, behind the strict gate."""
     folder = _sinks(spark, sf_dir, "strict")
     sinks = [
-        jobs.committed(spark, f"{folder}/{name}", f"{folder}/counts").select(F.lit(name).alias("sink"), "doc_id", "n_total")
+        jobs.committed(spark, f"{folder}/{name}", f"{folder}/counts").select(F.lit(name).alias("sink"), "text_id", "n_total")
         for name in ("safe", "held")
     ]
     return _flat(sinks[0].unionByName(sinks[1]))

@@ -15,19 +15,24 @@ from chargeaudit.operators.catalog import (
     compute_rates,
     with_document,
 )
-from chargeaudit.session import materialise
+from chargeaudit.session import materialise, spread
+
+
+# Tables with a row for each line, event or text; the others are small beside them.
+_LONG = ("lineitem", "orders", "events", "documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in _LONG else rows
 
 
 # Similarity from which a line without a code counts as known; scores lie on both sides.
 UNCODED_BAR = 0.35
 
 # Score from which a description counts as found in the catalog, and how much better a cheaper
-# code has to fit; texts differ from documents by the code, so scores stay below 0.6.
-TEXT_BAR = 0.46
+# code has to fit; texts differ from documents by the code, so scores stay between 0.5 and 0.65.
+TEXT_BAR = 0.565
 TEXT_MARGIN = 0.05
 
 # Numbers of four signs in base 36 that begin with a letter: A000 to ZZZZ.
@@ -295,6 +300,10 @@ def _chosen(words: tuple[str, ...], key: Column) -> Column:
 
 
 def intake_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms_of(table(spark, sf_dir, "customer"))
+
+
+def forms_of(customers: DataFrame) -> DataFrame:
     """One form for each customer with labelled personal data of every kind, some fields left out."""
     key = F.col("c_custkey")
     digits = lambda factor, width: F.lpad(((key * factor + 17) % 10**width).cast("string"), width, "0")
@@ -311,9 +320,10 @@ def intake_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Mail c"), key.cast("string"), F.lit("@clinic.example")),
         F.when(key % 4 == 0, F.concat(F.lit("Card 4"), digits(59, 3), F.lit(" "), digits(61, 4), F.lit(" "), digits(67, 4), F.lit(" "), digits(71, 4))),
         F.when(key % 7 == 0, F.concat(F.lit("From 10."), (key % 256).cast("string"), F.lit(".0.1"))),
+        F.when(key % 6 == 0, F.concat(F.lit("Ref "), digits(73, 10))),
         F.lit("Balance due on 01/15/2025 for 99213"),
     ]
-    return table(spark, sf_dir, "customer").select(
+    return customers.select(
         F.lit("forms").alias("source"), key.alias("text_id"), F.lit(0).cast("bigint").alias("turn"), F.concat_ws("\n", *lines).alias("text")
     )
 

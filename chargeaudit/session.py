@@ -64,6 +64,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores if its files make fewer tasks than there are cores.
+
+    Files of one row group are read by one task, and all that follows without a shuffle would
+    run there too. A scan of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
