@@ -41,6 +41,7 @@ SMALL = 48  # classes in a node that is compared by brute force
 DEPTH = 5
 BLOCK_SHINGLES = 60_000
 BLOCK_CLASSES = 400
+KNOWN_WORDS = 120_000  # hashes a task remembers
 SLACK = 5.0  # standard deviations of the signature's estimate
 
 CODE = np.random.default_rng(20_240_801)
@@ -90,7 +91,7 @@ def _classes(documents: DataFrame) -> DataFrame:
     """(doc, set, size, signature) of every document with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(KNOWN_WORDS)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -240,7 +241,7 @@ def _sets(members: DataFrame) -> DataFrame:
     """(comp, rep, weight, set) with the full shingle set in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = WordHashes(KNOWN_WORDS)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
