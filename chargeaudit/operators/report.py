@@ -27,23 +27,23 @@ def _cut(text: Column) -> Column:
     return F.substring(text, 1, c.TABLE_DESCRIPTION_CHARS)
 
 
-# Headings and sentences of the review context.
+# Headings and sentences of the review context.
 _CONTEXT_FOUND = (
-    "## Pre-fetched HCPCS Reference Data\n\n"
-    "The following codes were found in the bill text and pre-fetched from the CMS HCPCS database. "
-    "Use this data directly — do NOT call search_hcpcs for these codes.\n\n"
+    "## Catalog records\n\n"
+    "The following codes were found in the bill text and looked up in the catalog. "
+    "These records are exact; they need no search.\n\n"
     "| Code | Short Description | Medicare Ref Price | Has Price Data |\n"
     "|------|------------------|--------------------|----------------|\n"
 )
 _CONTEXT_NONE = (
-    "## Pre-fetched HCPCS Reference Data\n\n"
-    "No HCPCS codes were pre-fetched (none found via regex in the bill text). "
-    "Use search_hcpcs to look up any codes or descriptions you find."
+    "## Catalog records\n\n"
+    "No codes were found in the bill text. "
+    "Search the catalog by description for what the text mentions."
 )
 _CONTEXT_END = (
     "\n\n---\n\n"
-    "Please analyse this bill for billing anomalies. "
-    "When you have finished your analysis, call report_anomalies with your findings."
+    "Please judge the charges of this bill. "
+    "Give every finding as one record with its line, kind and severity."
 )
 
 

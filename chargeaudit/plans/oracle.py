@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chargeaudit.functions.patterns import PROFILES
+from chargeaudit.functions.patterns import PROFILES, Pattern
 from chargeaudit.plans.tables import FAMILY_NAMES, GIVEN_NAMES, STREETS, TEXT_BAR, TEXT_MARGIN, UNCODED_BAR
 
 
@@ -323,6 +323,18 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# The SQL engine's patterns have no look-aheads: the strict numbers as ranges of digits.
+STRICT_SSN_RANGES = (
+    r"\b(?:00[1-9]|0[1-9]\d|[1-57-8]\d{2}|6[0-57-9]\d|66[0-57-9])[-\s]?(?:0[1-9]|[1-9]\d)[-\s]?"
+    r"(?:000[1-9]|00[1-9]\d|0[1-9]\d{2}|[1-9]\d{3})\b"
+)
+
+
+def _sql_regex(pattern: Pattern) -> str:
+    regex = STRICT_SSN_RANGES if "(?!" in pattern.regex else pattern.regex
+    return _sql_text(("(?i)" if pattern.ignore_case else "") + regex)
+
+
 def _redaction(profile: str) -> str:
     """One common table expression per pattern: count, then replace."""
     steps = []
@@ -330,7 +342,7 @@ def _redaction(profile: str) -> str:
     columns = "source, text_id, turn"
     start = "text as t0"
     for number, pattern in enumerate(PROFILES[profile]):
-        regex = _sql_text(("(?i)" if pattern.ignore_case else "") + pattern.regex)
+        regex = _sql_regex(pattern)
         token = _sql_text(pattern.token.replace("$1", "\\1"))
         carried = "".join(f", n{i}" for i in range(number))
         source = f"(select {columns}, {start} from {previous})" if number == 0 else previous
@@ -361,7 +373,7 @@ def _label_rows(profile: str) -> str:
 def _any_match(text: str, profile: str, first: int | None = None) -> str:
     patterns = PROFILES[profile][:first]
     return " or ".join(
-        f"regexp_matches({text}, {_sql_text(('(?i)' if p.ignore_case else '') + p.regex)})" for p in patterns
+        f"regexp_matches({text}, {_sql_regex(p)})" for p in patterns
     )
 
 
@@ -588,15 +600,15 @@ SQL: dict[str, str] = {
           select b.bill_id, b.part_no, coalesce(n_codes, 0) as n_codes,
             '## Redacted Medical Bill' || chr(10) || chr(10) || 'File: order-' || b.bill_id || '.pdf  |  Type: pdf'
             || chr(10) || chr(10) || '```' || chr(10) || redacted_text || chr(10) || '```' || chr(10) || chr(10)
-            || '## Pre-fetched HCPCS Reference Data' || chr(10) || chr(10)
-            || coalesce('The following codes were found in the bill text and pre-fetched from the CMS HCPCS database. '
-              || 'Use this data directly — do NOT call search_hcpcs for these codes.' || chr(10) || chr(10)
+            || '## Catalog records' || chr(10) || chr(10)
+            || coalesce('The following codes were found in the bill text and looked up in the catalog. '
+              || 'These records are exact; they need no search.' || chr(10) || chr(10)
               || '| Code | Short Description | Medicare Ref Price | Has Price Data |' || chr(10)
               || '|------|------------------|--------------------|----------------|' || chr(10) || rows,
-              'No HCPCS codes were pre-fetched (none found via regex in the bill text). '
-              || 'Use search_hcpcs to look up any codes or descriptions you find.')
-            || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Please analyse this bill for billing anomalies. '
-            || 'When you have finished your analysis, call report_anomalies with your findings.' as context
+              'No codes were found in the bill text. '
+              || 'Search the catalog by description for what the text mentions.')
+            || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Please judge the charges of this bill. '
+            || 'Give every finding as one record with its line, kind and severity.' as context
           from bill_texts b left join tables t on b.bill_id = t.bill_id and b.part_no = t.part_no)
         select bill_id, part_no, n_codes, length(context) as n_chars, md5(context) as context_md5 from contexts""",
     "assemble_pages": rf"""with pages_in as (

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chargeaudit.functions.patterns import GUARDS, PROFILES, spark_regex
 from chargeaudit.operators.redact import leak_gate, publish_redacted, redact, redaction_audit, with_gate
+from chargeaudit.plans.oracle import STRICT_SSN_RANGES
 
 MUST = [
     ("SSN: 123-45-6789", "SSN"),
@@ -132,3 +133,13 @@ def test_audit_totals(spark):
     totals = {r.label: (r.n_matches, r.n_texts) for r in redaction_audit(redact(df)).collect()}
     assert totals["EMAIL"] == (3, 2)
     assert totals["SSN"] == (0, 0)
+
+
+def test_strict_numbers_and_their_ranges_agree():
+    published, ranges = re.compile(PROFILES["strict"][0].regex), re.compile(STRICT_SSN_RANGES)
+    for area in range(1000):
+        for group in (0, 1, 9, 10, 50, 99):
+            for serial in (0, 1, 10, 100, 1000, 9999):
+                for sep in ("", "-", " "):
+                    text = f"{area:03}{sep}{group:02}{sep}{serial:04}"
+                    assert bool(published.search(text)) == bool(ranges.search(text)), text
