@@ -14,7 +14,7 @@ from chargeaudit import constants as c
 from chargeaudit.functions.text import join_ordered, normalise_header
 from chargeaudit.operators.catalog import resolve_columns
 from chargeaudit.operators.numbering import top_per_key
-from chargeaudit.session import materialise
+from chargeaudit.session import broadcast_if_small, materialise
 
 
 def numbered_names(names: Sequence[str]) -> list[str]:
@@ -112,7 +112,7 @@ def whole_records(lines: DataFrame) -> DataFrame:
     if broken is not None:
         raise ValueError(f"a quote never closes in {broken.file}")
     inside = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.join(F.broadcast(before.drop("open")), ["file", "block"]).withColumn(
+    placed = counted.join(broadcast_if_small(before.drop("open")), ["file", "block"]).withColumn(
         "after", F.col("before") + F.sum("quotes").over(inside)
     )
     row_id = F.struct("block", "line")
@@ -136,7 +136,7 @@ def whole_records(lines: DataFrame) -> DataFrame:
     )
     joined = (
         parts.where("not whole")
-        .join(F.broadcast(carried), ["file", "block"])
+        .join(broadcast_if_small(carried), ["file", "block"])
         .groupBy("file", F.coalesce("start", "carried").alias("record"))
         .agg(join_ordered(F.col("row_id"), F.col("value"), "\n").alias("value"))
         .select("file", F.col("record").alias("row_id"), "value")

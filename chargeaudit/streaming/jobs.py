@@ -14,6 +14,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from chargeaudit import constants as c
 from chargeaudit.operators.redact import count_column, labels, redact, with_gate
 from chargeaudit.operators.rules import LINE, finding_columns, price_overcharges, with_explanations
+from chargeaudit.session import broadcast_if_small
 
 
 def _trigger(writer, available_now: bool):
@@ -70,7 +71,7 @@ def stream_redact(
 def committed(spark: SparkSession, path: str, counts_path: str) -> DataFrame:
     """Rows of a sink of ``stream_redact`` whose batch has reached all sinks."""
     batches = spark.read.parquet(counts_path).select("batch")
-    return spark.read.parquet(path).join(F.broadcast(batches), "batch", "left_semi").drop("batch")
+    return spark.read.parquet(path).join(broadcast_if_small(batches), "batch", "left_semi").drop("batch")
 
 
 def label_counts(spark: SparkSession, counts_path: str, profile: str = "safe") -> DataFrame:
