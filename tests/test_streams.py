@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from chargeaudit.operators.rules import duplicate_charges
+from chargeaudit.plans.queries import QUERIES
 from chargeaudit.streaming import jobs
 
 LINES = (
@@ -103,3 +104,12 @@ def test_throttle_of_late_events_equals_batch(spark, tmp_path):
     expected = jobs.throttle_audit(spark.createDataFrame(rows, schema), limit=3, window="15 minutes")
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, expected.collect()))
     assert expected.where(F.col("n_over") > 0).count() > 5
+
+
+def test_stream_of_a_table_that_is_a_folder(spark, tmp_path):
+    docs = spark.createDataFrame([(n, f"text {n} mail a{n}@b.org") for n in range(9)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    (tmp_path / "file").mkdir()
+    docs.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
+    rows = [sorted(map(str, QUERIES["stream_redact"](spark, str(tmp_path / kind)).collect())) for kind in ("file", "folder")]
+    assert len(rows[0]) == 9 and rows[0] == rows[1]
