@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chargeaudit.operators import checks, extract
 from chargeaudit.operators.catalog import build_catalog, compute_rates, require_columns, with_document
+from chargeaudit.plans import queries, tables
 from chargeaudit.plans.audit import audit_bills
 from chargeaudit.sources.files import classify_files, numbered_names, read_below_preamble, read_strings
 from chargeaudit.sources.tables import catalog_readiness, current_version, publish_catalog, read_catalog
@@ -190,3 +191,20 @@ def test_audit_routes_every_bill(spark):
     assert letter.anomaly_codes == ["99213"] and "$450.00" in letter.body
     document = audit.documents.select(F.get_json_object("document", "$.bill_summary.anomaly_count")).collect()
     assert [r[0] for r in document] == ["1"]
+
+
+@pytest.mark.parametrize("name, column", [("customer", "c_custkey"), ("part", "p_partkey"), ("embeddings", "vec_id")])
+def test_rows_of_one_file_are_dealt_over_all_cores(spark, tmp_path, name, column):
+    spark.range(4000).withColumnRenamed("id", column).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    sizes = tables.table(spark, str(tmp_path), name).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 2000
+
+
+def test_stored_documents_are_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "_stream_folder", lambda _: str(tmp_path))
+    text = '{"anomalies": [], "dispute_letter": null}'
+    made = spark.range(2000).select(F.col("id").alias("bill_id"), F.lit(text).alias("document"))
+    monkeypatch.setattr(queries, "_documents", lambda *_: made)
+    stored = queries._stored_documents(spark, "")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, made.collect()))
+    assert sum(f.stat().st_size for f in (tmp_path / "documents").iterdir() if f.name.startswith("part")) < 2000 * len(text) / 3
