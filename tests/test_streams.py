@@ -113,3 +113,20 @@ def test_stream_of_a_table_that_is_a_folder(spark, tmp_path):
     docs.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
     rows = [sorted(map(str, QUERIES["stream_redact"](spark, str(tmp_path / kind)).collect())) for kind in ("file", "folder")]
     assert len(rows[0]) == 9 and rows[0] == rows[1]
+
+
+def test_shards_grow_with_the_lines():
+    assert jobs.shards_for(1000) == 16
+    for n_lines in (10**6, 10**8):
+        assert n_lines / jobs.shards_for(n_lines) <= jobs.LINES_PER_SHARD
+
+
+def test_the_duplicate_stream_deals_its_keys_by_its_lines(spark, monkeypatch):
+    asked = []
+    started = jobs.stream_duplicate_charges
+    monkeypatch.setattr(jobs, "LINES_PER_SHARD", 250, raising=False)
+    monkeypatch.setattr(jobs, "stream_duplicate_charges", lambda *a, shards, **k: asked.append(shards) or started(*a, shards=shards, **k))
+    folder = "/root/testdata/sf0.001"
+    ours = QUERIES["stream_duplicate_charge"](spark, folder)
+    assert set(asked) == {-(-spark.read.parquet(f"{folder}/lineitem.parquet").count() // 250)}
+    assert sorted(map(str, ours.collect())) == sorted(map(str, QUERIES["duplicate_charge"](spark, folder).select(*ours.columns).collect()))
