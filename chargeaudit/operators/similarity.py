@@ -36,6 +36,7 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 MAX_PIVOTS = 256
 QUERY_BLOCK_ROWS = 65_536
+BLOCK_SCORES = 1 << 20  # scores a task holds at a time, 8 MB
 # Scores that differ by less are ties and go to the smaller code.
 TIE_DIGITS = 9
 
@@ -104,23 +105,27 @@ def usable_vectors(df: DataFrame, key: str, vector: str, name: str) -> DataFrame
     )
 
 
-def block_kernels(k: int, digits: int = TIE_DIGITS, rows: int = 1024):
+def block_kernels(k: int, digits: int = TIE_DIGITS, scores: int = BLOCK_SCORES):
     """What runs inside a task: (stack vectors, match a block).
 
-    Local functions, so that the workers get them along with the task.
+    Local functions, so that the workers get them along with the task. At most ``scores`` scores
+    are held at a time, whatever the sizes of the two blocks.
     """
 
     def stack(vectors: pd.Series) -> np.ndarray:
         """Rows of unit length."""
         matrix = np.stack(vectors.to_numpy()).astype("float64")
-        return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        return matrix
 
     def match(ids: np.ndarray, queries: np.ndarray, codes: np.ndarray, units: np.ndarray) -> pd.DataFrame:
         """The best ``k`` codes of every query of a block."""
         keep = min(k, len(codes))
+        rows = max(1, scores // len(codes))
         found = []
         for start in range(0, len(ids), rows):
-            sims = np.round(queries[start : start + rows] @ units.T, digits)
+            sims = queries[start : start + rows] @ units.T
+            np.round(sims, digits, out=sims)
             kth = np.partition(sims, len(codes) - keep, axis=1)[:, len(codes) - keep]
             row, col = np.nonzero(sims >= kth[:, None])
             found.append(

@@ -1,9 +1,12 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from chargeaudit.constants import MAX_TOP_K
 from chargeaudit.operators.similarity import resolve_lines, search_similar, unresolved_descriptions
+from chargeaudit.operators import similarity
 
 
 def _frame(spark, key, vectors):
@@ -69,3 +72,17 @@ def test_known_codes_need_no_search(spark):
         5: ("B0002", "exact", None),
     }
     assert [r.description for r in unresolved_descriptions(lines, catalog).orderBy("description").collect()] == ["x", "y"]
+
+
+def test_a_block_holds_a_bounded_number_of_scores():
+    rng = np.random.default_rng(5)
+    stack, match = similarity.block_kernels(3)
+    queries, codes = (stack(pd.Series(list(rng.normal(size=(n, 8)).astype("float32")))) for n in (3000, 8192))
+    names = np.array([f"{n:05d}" for n in range(len(codes))], dtype=object)
+    tracemalloc.start()
+    try:
+        found = match(np.arange(len(queries)), queries, names, codes)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 3 * len(queries) and peak < 64e6
