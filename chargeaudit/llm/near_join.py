@@ -9,6 +9,13 @@ average, and sends each class to the child named by its value there. Nodes with
 are compared by brute force; larger ones are split again. A pair of the wanted similarity
 meets in a run with a known chance; runs are repeated until the target recall is reached.
 
+A large node is contracted before it is split. The places in which signatures differ are a
+metric: if a class differs from the node's least class in at most ``CORE`` places, whatever is
+similar to it differs from that one in at most ``CORE + APART``. So all classes within
+``CORE + APART`` are tied to the least one, and those within ``CORE`` need not go on: who could
+meet them further down is tied to the same class. A large group of near copies thus leaves a
+run after one step or two.
+
 What meets is only a candidate. Candidates form components; in each component the classes'
 full shingle sets are compared with each other, block by block, so the links found are exact
 and no list of pairs is made: a block gives each class its number of linked documents and the
@@ -44,6 +51,10 @@ BLOCK_CLASSES = 400
 KNOWN_WORDS = 120_000  # hashes a task remembers
 SLACK = 5.0  # standard deviations of the signature's estimate
 
+_FAR, _SPREAD = WIDTH * (1 - SIMILARITY), math.sqrt(WIDTH * SIMILARITY * (1 - SIMILARITY))
+APART = math.ceil(_FAR + SLACK * _SPREAD)  # places in which similar classes differ at most
+CORE = math.ceil(_FAR + _SPREAD)  # places up to which a class goes no further than the least one
+
 CODE = np.random.default_rng(20_240_801)
 _FLIPS = CODE.integers(0, 1 << 32, WIDTH, dtype=np.uint64).astype(np.uint32)
 _FACTORS = (CODE.integers(0, 1 << 31, WIDTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -129,13 +140,15 @@ def _marks(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, WIDTH)
 
 
-MEMBER = "node long, rep long, size long, bits_a long, bits_b long"
+MEMBER = "node long, rep long, size long, bits_a long, bits_b long, tied long"
 
 
 def _split(members: DataFrame, runs: int | None) -> DataFrame:
     """Members of the children of each row's ``nodes``; ``runs`` starts that many runs at their roots.
 
-    What travels with a member is one bit of each place of its signature, not the signature.
+    ``nodes`` has (node, least, marks) of each node, with the signature of its least class. A row
+    with ``tied`` is no member: it says that ``rep`` goes with that class. What travels with a
+    member is one bit of each place of its signature, not the signature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +156,10 @@ def _split(members: DataFrame, runs: int | None) -> DataFrame:
             for at in range(0, whole.num_rows, 2000):
                 yield from split(whole.slice(at, 2000))
 
+    def out(*columns: pa.Array | np.ndarray) -> pa.RecordBatch:
+        names = ["node", "rep", "size", "bits_a", "bits_b", "tied"]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns], names)
+
     def split(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         marks = _marks(batch.column("signature"))
         bits = np.packbits(marks & 1, axis=1).view(np.int64)
@@ -150,13 +167,22 @@ def _split(members: DataFrame, runs: int | None) -> DataFrame:
         own = np.arange(len(rep))
         if runs is None:
             nodes = batch.column("nodes")
-            starts = [(nodes.flatten().to_numpy().view(np.uint64), np.repeat(own, nodes.value_lengths().to_numpy()))]
+            node, least, theirs = nodes.flatten().flatten()
+            who = np.repeat(own, nodes.value_lengths().to_numpy())
+            differ = (marks[who] != _marks(theirs)).sum(axis=1)
+            near = differ <= CORE + APART
+            # a class mostly meets the same least class in all its nodes
+            tied = np.unique(np.stack([rep[who[near]], least.to_numpy()[near]], axis=1), axis=0)
+            tied = tied[tied[:, 0] != tied[:, 1]]
+            none = pa.nulls(len(tied), pa.int64())
+            yield out(none, tied[:, 0], none, none, none, tied[:, 1])
+            on = differ > CORE
+            starts = [(node.to_numpy().view(np.uint64)[on], who[on])]
         else:
             starts = [(np.full(len(rep), mixed(np.array([r + 1], np.uint64))[0]), own) for r in range(runs)]
         for start, who in starts:
             node, at = _children(start, who, marks[who])
-            columns = (node.view(np.int64), rep[at], size[at], bits[at, 0], bits[at, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["node", "rep", "size", "bits_a", "bits_b"])
+            yield out(node.view(np.int64), rep[at], size[at], bits[at, 0], bits[at, 1], pa.nulls(len(node), pa.int64()))
 
     return members.mapInArrow(run, MEMBER)
 
@@ -217,22 +243,26 @@ def candidate_edges(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     """Edges whose components hold every pair of classes (rep, size, signature) that met in a run.
 
     Large nodes are counted and taken out before members are dealt by node, so no task gets
-    more than ``SMALL`` rows of a node.
+    more than ``SMALL`` rows of a node. What is near their least class is tied to it there.
     """
     spark = classes.sparkSession
     found = spark.createDataFrame([], "u long, v long")
-    members = _split(classes, runs_needed(recall))
+    members = _split(classes, runs_needed(recall)).drop("tied")
+    marks = classes.select(F.col("rep").alias("least"), F.col("signature").alias("marks"))
     for depth in range(1, DEPTH + 1):
         sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where(F.col("n") > SMALL)
         sizes = written(sizes.select("node", "least"), "nodes")
         found = found.union(written(_compare(beside(members, sizes.select("node"), ["node"], "left_anti")), "pairs"))
-        large = beside(members, sizes, ["node"])
         if depth < DEPTH:
+            large = beside(members.select("node", "rep"), written(sizes.join(marks, "least"), "leasts"), ["node"])
             # a class is in a bounded number of nodes, so its signature is fetched once for all of them
-            parents = large.groupBy("rep").agg(F.collect_list("node").alias("nodes")).join(classes, "rep")
-            members = written(_split(parents, None), "members")
+            parents = large.groupBy("rep").agg(F.collect_list(F.struct("node", "least", "marks")).alias("nodes")).join(classes, "rep")
+            rows = written(_split(parents, None), "members")
+            found = found.union(rows.where("tied IS NOT NULL").select("rep", "tied"))
+            members = rows.where("tied IS NULL").drop("tied")
         else:
             # classes that are still many have shared DEPTH chosen places: they go on as one
+            large = beside(members, sizes, ["node"])
             found = found.union(large.select(F.col("rep").alias("u"), F.col("least").alias("v")).where("u != v"))
     return found.distinct()
 

@@ -86,6 +86,20 @@ def test_blocks_of_large_components_count_each_link_once(spark, monkeypatch):
     assert found == _near(texts)
 
 
+def test_a_large_group_leaves_the_runs_early(spark, monkeypatch):
+    """Near copies are tied to the least class of their node at once; what is near only to some of them isn't lost."""
+    rows = []
+    split = near_join._split
+    monkeypatch.setattr(near_join, "_split", lambda members, runs: rows.append(split(members, runs)) or rows[-1])
+    base = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(base[:i] + [f"c{i}"] + base[i + 1 :]) for i in range(300)}
+    texts |= {300 + i: " ".join([*base[: 364 - 4 * i], *(f"d{i}.{j}" for j in range(4 * i))]) for i in range(12)}
+    found = {r.doc_id: (r.class_id, r.n_links) for r in near_join.near_duplicates(_docs(spark, texts.items())).collect()}
+    assert found == _near(texts)
+    first, second = (frame.where("node IS NOT NULL").count() for frame in rows[:2])
+    assert second < first / 4
+
+
 def test_near_rows_without_ids_of_their_own(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = _docs(spark, [(7, text), (7, text + " more"), (None, text), (9, "other words here today now"), (None, None)])
