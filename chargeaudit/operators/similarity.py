@@ -105,6 +105,16 @@ def usable_vectors(df: DataFrame, key: str, vector: str, name: str) -> DataFrame
     )
 
 
+def first_copies(codes: DataFrame, k: int) -> DataFrame:
+    """Of the codes with the very same ``vector`` the first ``k``.
+
+    Equal vectors are told by two 64-bit hashes with seeds of their own: sorting by the vectors
+    themselves compares number by number, and copies to the last one.
+    """
+    hashed = codes.withColumn("_one", F.xxhash64("vector")).withColumn("_two", F.xxhash64(F.lit(1), "vector"))
+    return top_per_key(hashed, ["_one", "_two"], ["code"], k, "_copy").select(*codes.columns)
+
+
 def block_kernels(k: int, digits: int = TIE_DIGITS, scores: int = BLOCK_SCORES):
     """What runs inside a task: (stack vectors, match a block).
 
@@ -281,10 +291,9 @@ def search_similar(
     """
     k = max(1, k if max_k is None else min(k, max_k))
     wanted = usable_vectors(queries, query_key, query_vector, "query_id")
-    # Of several codes with the very same vector only the first k can be found.
-    known = top_per_key(
-        usable_vectors(catalog, catalog_key, catalog_vector, "code"), ["vector"], ["code"], k, "_copy"
-    ).drop("_copy")
+    # Of several codes with the very same vector only the first k can be found. Written once: the
+    # look at the first rows needs all of it already.
+    known = materialise(first_copies(usable_vectors(catalog, catalog_key, catalog_vector, "code"), k))
     schema = T.StructType(
         [
             wanted.schema["query_id"],
@@ -298,9 +307,8 @@ def search_similar(
     elif len(head) <= block_rows:
         found = _search_one_block(wanted, head, k, schema)
     else:
-        # Both sides are read several times from here on.
-        wanted, known = materialise(wanted), materialise(known)
-        found = _search_cells(wanted, known, known.count(), k, schema, block_rows)
+        # The queries are read several times from here on.
+        found = _search_cells(materialise(wanted), known, known.count(), k, schema, block_rows)
     ranked = top_per_key(found, ["query_id"], [F.desc("similarity"), "code"], k, "rank")
     return ranked.select("query_id", "code", score(F.col("similarity")).alias("similarity_score"), "rank")
 

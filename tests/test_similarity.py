@@ -86,3 +86,21 @@ def test_a_block_holds_a_bounded_number_of_scores():
     finally:
         tracemalloc.stop()
     assert len(found) == 3 * len(queries) and peak < 64e6
+
+
+def test_a_large_catalog_with_copies_is_computed_once(spark):
+    rng = np.random.default_rng(5)
+    queries, codes = rng.normal(size=(12, 6)), np.repeat(rng.normal(size=(20, 6)), 4, axis=0)
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(len(batch))
+            yield batch
+
+    catalog = _frame(spark, "code", codes)
+    found = search_similar(
+        _frame(spark, "query_id", queries), catalog.mapInPandas(counted, catalog.schema), k=3, block_rows=8
+    )
+    assert {(r.query_id, r.code, r["rank"]) for r in found.collect()} == _brute(queries, codes, 3)
+    assert rows.value == len(codes)
