@@ -95,12 +95,12 @@ def test_a_large_catalog_with_copies_is_computed_once(spark):
 
     def counted(batches):
         for batch in batches:
-            rows.add(len(batch))
+            rows.add(batch.num_rows)
             yield batch
 
     catalog = _frame(spark, "code", codes)
     found = search_similar(
-        _frame(spark, "query_id", queries), catalog.mapInPandas(counted, catalog.schema), k=3, block_rows=8
+        _frame(spark, "query_id", queries), catalog.mapInArrow(counted, catalog.schema), k=3, block_rows=32
     )
     assert {(r.query_id, r.code, r["rank"]) for r in found.collect()} == _brute(queries, codes, 3)
     assert rows.value == len(codes)
