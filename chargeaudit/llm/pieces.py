@@ -53,7 +53,10 @@ class PieceEncoder:
         self.most, self.most_chars = most, most_chars
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         # Words of letters only are single matches of the pattern: for them cutting at spaces is enough.
-        self.words = Tokenizer.from_str(tokenizer.to_str())
+        # The model is shared, since a second one would take as much memory again.
+        self.words = Tokenizer(tokenizer.model)
+        if tokenizer.normalizer is not None:
+            self.words.normalizer = tokenizer.normalizer
         self.words.pre_tokenizer = pre_tokenizers.Sequence(
             [
                 pre_tokenizers.Split(" ", "merged_with_next"),

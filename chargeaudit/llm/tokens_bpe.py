@@ -27,6 +27,7 @@ from chargeaudit.llm.common import ragged, table, text_or_empty
 from chargeaudit.llm.pieces import PieceEncoder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+KNOWN_PIECES = 200_000  # pieces a worker remembers; it keeps them while other stages run
 
 
 def byte_characters() -> list[str]:
@@ -68,7 +69,7 @@ def rank_tokenizer(path: str):
 @lru_cache(maxsize=1)
 def rank_encoder(path: str) -> PieceEncoder:
     """Encoder of a rank file; the tasks of a worker share it and what it remembers."""
-    return PieceEncoder(rank_tokenizer(path))
+    return PieceEncoder(rank_tokenizer(path), most=KNOWN_PIECES)
 
 
 class ByteTable:

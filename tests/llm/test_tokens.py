@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -156,3 +158,23 @@ def test_token_budget_of_nulls_and_clashing_columns(spark):
     table = token_counts.prefix_table(_frame(spark, [(1, "a bc d", "k", "mine")]), JSON).first()
     assert table.ends == [1, 4, 6] and len(table.counts) == 3
     assert token_counts.prefix_table(_frame(spark, []).where(F.lit(False)), JSON).count() == 0
+
+
+def test_worker_holds_one_model():
+    # A worker holds the encoder while the stages after it run, so a second copy of the model counts.
+    code = f"""
+import re
+import numpy, pyarrow
+from chargeaudit.llm import tokens_bpe
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+before = held()
+encoder = tokens_bpe.rank_encoder({RANKS!r})
+print(held() - before)
+"""
+    root = tokens_bpe.__file__.rsplit("/chargeaudit/", 1)[0]
+    run = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert float(run.stdout) < 75
+    assert tokens_bpe.rank_encoder(RANKS).most == tokens_bpe.KNOWN_PIECES
