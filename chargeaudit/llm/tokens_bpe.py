@@ -102,34 +102,31 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.to_pandas_dtype())))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """``df`` without ``text``, with ``ids`` and, if asked for, ``offsets`` (first character of each id)."""
-    kept = df.drop("ids", "offsets").withColumn(text, text_or_empty(text))
+def _encoded_fields(kept: DataFrame, text: str, offsets: bool) -> list[T.StructField]:
     fields = [f for f in kept.schema.fields if f.name != text] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]
     if offsets:
         fields.append(T.StructField("offsets", T.ArrayType(T.IntegerType())))
+    return fields
 
+
+def _encode_batches(path: str, text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_encoder(path)
-        bytes_of = ByteTable(ranks_of(path)) if offsets else None
+        bytes_of = ByteTable(ranks_of(path)) if "offsets" in names else None
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 ids = [i.astype(np.int32) for i in encoder.encode(batch.column(text).to_pylist())]
-                columns = [batch.column(f.name) for f in fields if f.name not in ("ids", "offsets")]
+                columns = [batch.column(n) for n in names if n not in ("ids", "offsets")]
                 columns.append(_lists(ids, pa.int32()))
                 if bytes_of:
                     columns.append(_lists([bytes_of.offsets(i) for i in ids], pa.int32()))
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return kept.mapInArrow(run, T.StructType(fields))
+    return run
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``df`` with ``decoded``, the bytes of the ids; ``cast("string")`` gives the text."""
-    kept = df.drop("decoded").withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>")))
-    schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])
-
+def _decode_batches(path: str, ids: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = ByteTable(ranks_of(path))
         for whole in batches:
@@ -139,9 +136,32 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
                 decoded = [bytes_of.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names)
+
+    return run
+
+
+def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False) -> DataFrame:
+    """``df`` without ``text``, with ``ids`` and, if asked for, ``offsets`` (first character of each id)."""
+    kept = df.drop("ids", "offsets").withColumn(text, text_or_empty(text))
+    schema = T.StructType(_encoded_fields(kept, text, offsets))
+    return kept.mapInArrow(_encode_batches(path, text, schema.names), schema)
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """``df`` with ``decoded``, the bytes of the ids; ``cast("string")`` gives the text."""
+    kept = df.drop("decoded").withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>")))
+    schema = T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())])
+    return kept.mapInArrow(_decode_batches(path, ids, schema.names), schema)
+
 
-    return kept.mapInArrow(run, schema)
+def encode_and_decode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``decode(encode(df))`` in one worker for each task instead of two, each of which holds its tables."""
+    kept = df.drop("ids", "decoded").withColumn(text, text_or_empty(text))
+    middle = [f.name for f in _encoded_fields(kept, text, False)]
+    schema = T.StructType([*_encoded_fields(kept, text, False), T.StructField("decoded", T.BinaryType())])
+    encoded, decoded = _encode_batches(path, text, middle), _decode_batches(path, "ids", schema.names)
+    return kept.mapInArrow(lambda batches: decoded(encoded(batches)), schema)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +180,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text: the last stage's result."""
     path = public_tokenizers.path(RANKS)
     rows = docs.select("doc_id", "lang", "source", text_or_empty().alias("text"), F.sha2(text_or_empty().cast("binary"), 256).alias("_sha"))
-    return decode(encode(rows, path), path).select(
+    return encode_and_decode(rows, path).select(
         "doc_id",
         "lang",
         "source",

@@ -178,3 +178,15 @@ print(held() - before)
     run = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
     assert float(run.stdout) < 75
     assert tokens_bpe.rank_encoder(RANKS).most == tokens_bpe.KNOWN_PIECES
+
+
+def test_stage_takes_one_worker_for_each_task(spark):
+    docs = spark.createDataFrame([(i, "en", "web", t) for i, t in enumerate([*ODD, None])], "doc_id long, lang string, source string, text string")
+    staged = tokens_bpe.bpe_stage(spark, docs, SF)
+    assert staged._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = public_tokenizers.path(tokens_bpe.RANKS)
+    plain = tokens_bpe.decode(tokens_bpe.encode(docs, path), path)
+    assert {r.doc_id: r.ids for r in staged.collect()} == {r.doc_id: r.ids for r in plain.collect()}
+    both = tokens_bpe.encode_and_decode(docs, path)
+    assert both.columns == plain.columns and sorted(map(str, both.collect())) == sorted(map(str, plain.collect()))
+    assert all(r.round_trip for r in staged.collect())
