@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chargeaudit.llm.common import ragged, shared_folder, table, text_or_empty
+from chargeaudit.llm.common import shared_folder, table, text_or_empty
 from chargeaudit.llm.pieces import json_tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,12 +42,12 @@ BLOCKS = (
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes (four 2-bit lengths minus one each, lowest first) and data bytes of unsigned 32-bit values."""
     values = values.astype("<u4")
-    sizes = 1 + (values >= 1 << 8).astype(np.int64) + (values >= 1 << 16) + (values >= 1 << 24)
+    sizes = 1 + (values >= 1 << 8).astype(np.uint8) + (values >= 1 << 16) + (values >= 1 << 24)
     codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     codes[: len(values)] = sizes - 1
     quads = codes.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = values.view(np.uint8)[ragged(np.arange(len(values)) * 4, sizes)]
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) < sizes[:, None]]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 

@@ -93,6 +93,17 @@ def _frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens string")
 
 
+def test_pack_takes_few_bytes_for_each_value():
+    import tracemalloc
+
+    values = np.arange(1_000_000, dtype=np.uint32) % 70_000
+    tracemalloc.start()
+    token_files.pack(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(values)
+
+
 def test_files_hold_every_document_in_order(spark, tmp_path):
     rows = [(3, "c d", "x", "y"), (1, "a\n b", None, None), (2, None, None, None), (2, "again", None, None), (None, "no id", "", "")]
     token_files.write_tokens(_frame(spark, rows), f"{tmp_path}/t", JSON, block_ids=3)
