@@ -2,7 +2,8 @@
 
 The centres are fitted by k-means on a bounded sample of the codes; then every code goes to
 the cell of its nearest centre. A query reads the cells of its nearest centres and is compared
-with their codes, in blocks of bounded size. How many cells that takes is measured and not
+with their codes, in blocks of bounded size. Small cells share a block: a query goes there once
+with the list of its cells, and its best codes of all of them come back. How many cells that takes is measured and not
 guessed: for a bounded sample of queries the true neighbours are found by comparing with all
 codes, and the number of probes is the smallest one that reaches the share ``target`` of them.
 Vectors without structure need many probes, and the report says so.
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from chargeaudit import constants as c
 from chargeaudit.functions.vectors import score
 from chargeaudit.operators.numbering import top_per_key
-from chargeaudit.operators.similarity import QUERY_BLOCK_ROWS, block_kernels, usable_vectors
+from chargeaudit.operators.similarity import block_kernels, compare_packs, usable_vectors
 from chargeaudit.session import materialise
 
 FIT_ROWS = 100_000   # codes that the centres are fitted on
@@ -119,7 +120,7 @@ def build_dense_index(
 
 def probe(queries: DataFrame, index: DenseIndex, k: int, block_rows: int = c.VECTOR_BLOCK_ROWS) -> ProbedSearch:
     """Compare every row of ``queries(query_id, vector)`` with the codes of its nearest cells."""
-    stack, match = block_kernels(k)
+    stack, _ = block_kernels(1)
     centres, probes = index.centres, min(index.probes, len(index.centres))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,49 +131,15 @@ def probe(queries: DataFrame, index: DenseIndex, k: int, block_rows: int = c.VEC
                 yield batch.assign(cells=list(cells.astype("int32")))
 
     visit_schema = T.StructType([*queries.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
-    visits = materialise(
-        queries.mapInPandas(nearest, visit_schema).select("query_id", "vector", F.explode("cells").alias("cell"))
-    )
+    visits = materialise(queries.mapInPandas(nearest, visit_schema))
     codes = index.codes.groupBy("cell").agg(F.count("*").alias("n"))
-    asked = visits.groupBy("cell").agg(F.count("*").alias("m"))
+    asked = visits.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("m"))
     # One row for each cell, of which there are at most ``MAX_CELLS``.
-    sizes = materialise(
-        codes.join(asked, "cell").select(
-            "cell",
-            "n",
-            "m",
-            F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"),
-            F.ceil(F.col("m") / QUERY_BLOCK_ROWS).cast("int").alias("parts"),
-        )
-    )
-    left = (
-        visits.join(F.broadcast(sizes), "cell")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
-        .select("cell", "block", "part", "query_id", "vector")
-    )
-    right = (
-        index.codes.join(F.broadcast(sizes), "cell")
-        .withColumn("_block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.col("cell").alias("_cell"), "_block", "_part", "code", F.col("vector").alias("_vector"))
-    )
-
-    def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(theirs):
-            return pd.DataFrame({"query_id": [], "code": [], "similarity": []})
-        return match(
-            mine["query_id"].to_numpy(), stack(mine["vector"]), theirs["code"].to_numpy(), stack(theirs["_vector"])
-        )
-
+    sizes = materialise(codes.join(asked, "cell"))
     schema = T.StructType(
         [queries.schema["query_id"], index.codes.schema["code"], T.StructField("similarity", T.DoubleType())]
     )
-    found = (
-        left.groupBy("cell", "block", "part")
-        .cogroup(right.groupBy("_cell", "_block", "_part"))
-        .applyInPandas(compare, schema)
-    )
+    found = compare_packs(visits, index.codes, sizes.toPandas(), centres, visits.count(), k, schema, block_rows)
     ranked = top_per_key(found, ["query_id"], [F.desc("similarity"), "code"], k, "rank")
     matches = ranked.select("query_id", "code", score(F.col("similarity")).alias("similarity_score"), "rank")
     report = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("compared_pairs")).select(

@@ -36,6 +36,10 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 MAX_PIVOTS = 256
 QUERY_BLOCK_ROWS = 65_536
+PACK_BLOCKS = 4         # blocks of codes that a pack of cells holds at most
+TASK_SCORES = 1 << 26   # scores that are worth a task of their own
+DEAL_ROWS = 512         # queries that are dealt to packs at a time
+FOUND_ROWS = 1_000_000  # matches a task holds before it keeps the best of them
 BLOCK_SCORES = 1 << 20  # scores a task holds at a time, 8 MB
 # Scores that differ by less are ties and go to the smaller code.
 TIE_DIGITS = 9
@@ -165,6 +169,117 @@ def _search_one_block(queries: DataFrame, codes: pd.DataFrame, k: int, schema: T
     return queries.mapInPandas(run, schema)
 
 
+def packed(cells: np.ndarray, sizes: np.ndarray, centres: np.ndarray, rows: int) -> np.ndarray:
+    """The pack of each of ``cells``: neighbours share one up to ``rows`` codes.
+
+    Cells are taken in the order of their ``centres`` along the direction in which these differ most.
+    """
+    own = centres - centres.mean(axis=0)
+    along = own @ np.linalg.eigh(own.T @ own)[1][:, -1]
+    pack_of = np.zeros(len(cells), np.int64)
+    pack, held = 0, 0
+    for at in np.lexsort((cells, along)):
+        if held and held + sizes[at] > rows:
+            pack, held = pack + 1, 0
+        pack_of[at] = pack
+        held += sizes[at]
+    return pack_of
+
+
+def compare_packs(
+    visits: DataFrame,
+    codes: DataFrame,
+    sizes: pd.DataFrame,
+    centres: np.ndarray,
+    n_queries: int,
+    k: int,
+    schema: T.StructType,
+    block_rows: int,
+) -> DataFrame:
+    """The best ``k`` codes of each pack for every row of ``visits(query_id, vector, cells)``.
+
+    ``codes(code, vector, cell)`` lie in cells of ``sizes(cell, n)``, which are numbers of rows of
+    ``centres``; ``m``, the queries of a cell, may be there too. Neighbouring cells make a pack. A query goes to a pack once, with the list of its
+    cells there, and is compared with the codes of these cells only. So what is shuffled follows
+    from the number of packs and not from the number of cells.
+    """
+    stack, match = block_kernels(k)
+    spark = visits.sparkSession
+    if sizes.empty:
+        return spark.createDataFrame([], schema)
+    asked = sizes["m"] if "m" in sizes else n_queries
+    scores = int((sizes["n"] * asked).sum())
+    tasks = min(2 * spark.sparkContext.defaultParallelism, math.ceil(scores / TASK_SCORES))
+    even = math.ceil(int(sizes["n"].sum()) / math.ceil(math.sqrt(tasks)))
+    rows = min(max(even, block_rows), PACK_BLOCKS * block_rows)
+    cells = sizes["cell"].to_numpy()
+    pack_of = np.full(len(centres), -1, np.int64)
+    pack_of[cells] = packed(cells, sizes["n"].to_numpy(), centres[cells], rows)
+    plan = sizes.assign(pack=pack_of[cells])
+    plan["blocks"] = -(-plan.groupby("pack")["n"].transform("sum") // rows)
+    n_packs = int(pack_of.max()) + 1
+    parts = max(1, math.ceil(n_queries / QUERY_BLOCK_ROWS), min(math.ceil(tasks / n_packs), n_packs))
+    plan = plan[["cell", "pack", "blocks"]].astype("int32")
+    of_cell = spark.createDataFrame(plan, "cell int, pack int, blocks int")
+    of_pack = spark.createDataFrame(plan[["pack", "blocks"]].drop_duplicates(), "pack int, blocks int")
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for start in range(0, len(whole), DEAL_ROWS):
+                batch = whole.iloc[start : start + DEAL_ROWS]
+                row = np.repeat(np.arange(len(batch)), batch["cells"].map(len))
+                cell = np.concatenate(batch["cells"].to_numpy())
+                pack = pack_of[cell]
+                order = np.lexsort((pack, row))
+                order = order[pack[order] >= 0]
+                row, cell, pack = row[order], cell[order], pack[order]
+                first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(pack, prepend=-1) != 0))
+                if len(first):
+                    lists = pd.Series(np.split(cell, first[1:]), dtype=object)
+                    dealt = batch.iloc[row[first]].reset_index(drop=True)
+                    yield dealt.assign(cells=lists, pack=pack[first].astype("int32"))
+
+    def best_of(found: list[pd.DataFrame]) -> pd.DataFrame:
+        best = pd.concat(found).sort_values(["query_id", "similarity", "code"], ascending=[True, False, True], kind="stable")
+        return best.groupby("query_id", sort=False).head(k)
+
+    def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        found, held = [pd.DataFrame({"query_id": [], "code": [], "similarity": []})], 0
+        if not len(mine) or not len(theirs):
+            return found[0]
+        ids, units = mine["query_id"].to_numpy(), stack(mine["vector"])
+        row = np.repeat(np.arange(len(mine)), mine["cells"].map(len))
+        cell = np.concatenate(mine["cells"].to_numpy())
+        order = np.argsort(cell, kind="stable")
+        row, cell = row[order], cell[order]
+        for number, own in theirs.groupby("_cell"):
+            asking = row[np.searchsorted(cell, number) : np.searchsorted(cell, number, "right")]
+            if len(asking):
+                best = match(ids[asking], units[asking], own["code"].to_numpy(), stack(own["_vector"]))
+                found, held = [*found, best] if held else [best], held + len(best)
+            if held > FOUND_ROWS:
+                found, held = [best_of(found)], 1
+        return best_of(found) if held else found[0]
+
+    left = (
+        visits.select("query_id", "vector", "cells")
+        .mapInPandas(deal, T.StructType([*(visits.schema[n] for n in ("query_id", "vector", "cells")), T.StructField("pack", T.IntegerType())]))
+        .join(F.broadcast(of_pack), "pack")
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+        .select("pack", "block", "part", "query_id", "vector", "cells")
+    )
+    right = (
+        codes.join(F.broadcast(of_cell), "cell")
+        .withColumn("_block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        .select(F.col("pack").alias("_pack"), "_block", "_part", F.col("cell").alias("_cell"), "code", F.col("vector").alias("_vector"))
+    )
+    return (
+        left.groupBy("pack", "block", "part").cogroup(right.groupBy("_pack", "_block", "_part")).applyInPandas(compare, schema)
+    )
+
+
 def _search_cells(
     queries: DataFrame,
     codes: DataFrame,
@@ -174,7 +289,7 @@ def _search_cells(
     block_rows: int,
 ) -> DataFrame:
     """Catalog of any size: cells around pivots, visited as the bounds demand."""
-    stack, match = block_kernels(k)
+    stack, _ = block_kernels(k)
     n_pivots = min(MAX_PIVOTS, 2 * math.ceil(n_codes / block_rows))
     pivot_rows = codes.orderBy(F.xxhash64("code"), "code").limit(n_pivots).toPandas()
     pivots = stack(pivot_rows["vector"])
@@ -211,7 +326,6 @@ def _search_cells(
     )
     cells = stats["cell"].to_numpy()
     radius = stats["radius"].to_numpy()
-    blocks = {int(cell): max(1, math.ceil(n / block_rows)) for cell, n in zip(stats["cell"], stats["n"])}
     near = np.full((len(stats), k), np.inf)
     for at, members in enumerate(stats["near"]):
         near[at, : len(members)] = members
@@ -238,38 +352,8 @@ def _search_cells(
             wanted = gap - radius[None, :] <= kth[:, None] + slack
             yield batch.assign(cells=[cells[row].astype("int32") for row in wanted])
 
-    block_count = F.coalesce(
-        F.element_at(
-            F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("cell")
-        ),
-        F.lit(1),
-    )
-    n_queries = queries.count()
-    query_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK_ROWS))
-    left = (
-        queries.mapInPandas(plan_visits, visit_schema)
-        .select("query_id", "vector", F.explode("cells").alias("cell"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), block_count - 1)))
-        .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-    )
-    right = (
-        celled.drop("far")
-        .withColumn("block", F.pmod(F.xxhash64("code"), block_count).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    )
-
-    def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(theirs):
-            return pd.DataFrame({"query_id": [], "code": [], "similarity": []})
-        return match(
-            mine["query_id"].to_numpy(),
-            stack(mine["vector"]),
-            theirs["code"].to_numpy(),
-            stack(theirs["vector"]),
-        )
-
-    group = ["cell", "block", "part"]
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(compare, schema)
+    visits = queries.mapInPandas(plan_visits, visit_schema)
+    return compare_packs(visits, celled, stats[["cell", "n"]], pivots, queries.count(), k, schema, block_rows)
 
 
 def search_similar(

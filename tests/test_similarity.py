@@ -3,6 +3,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import types as T
 
 from chargeaudit.constants import MAX_TOP_K
 from chargeaudit.operators.similarity import resolve_lines, search_similar, unresolved_descriptions
@@ -104,3 +105,31 @@ def test_a_large_catalog_with_copies_is_computed_once(spark):
     )
     assert {(r.query_id, r.code, r["rank"]) for r in found.collect()} == _brute(queries, codes, 3)
     assert rows.value == len(codes)
+
+
+def test_small_cells_share_a_pack(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 8))
+    pack_of = similarity.packed(np.arange(60), np.full(60, 10), centres, 100)
+    assert np.bincount(pack_of).tolist() == [10] * 6
+    codes = [(f"c{i}", rng.normal(size=8).tolist(), i % 60) for i in range(600)]
+    asked = [(q, rng.normal(size=8).tolist(), sorted(rng.choice(60, 7, replace=False).tolist())) for q in range(40)]
+    visits = spark.createDataFrame(asked, "query_id long, vector array<double>, cells array<int>")
+    known = spark.createDataFrame(codes, "code string, vector array<double>, cell int")
+    found = similarity.compare_packs(
+        visits,
+        known,
+        pd.DataFrame({"cell": range(60), "n": 10}),
+        centres,
+        40,
+        3,
+        T.StructType([visits.schema["query_id"], known.schema["code"], T.StructField("similarity", T.DoubleType())]),
+        block_rows=40,
+    ).toPandas()
+    # At most three rows from each of the packs of 160 codes, not from each of the seven cells.
+    assert found.groupby("query_id").size().max() <= 3 * 4
+    best = found.sort_values(["query_id", "similarity"], ascending=[True, False]).groupby("query_id")["code"].agg(lambda x: list(x)[:3])
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    for q, vector, cells in asked:
+        scores = {code: unit(vector) @ unit(own) for code, own, cell in codes if cell in cells}
+        assert best[q] == sorted(scores, key=scores.get, reverse=True)[:3]
