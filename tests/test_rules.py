@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from chargeaudit.operators import lookup, rules, summary
 from chargeaudit.operators.catalog import with_document
 from chargeaudit.operators.numbering import number_rows
-from chargeaudit.plans.tables import part_code, supplier_code
+from chargeaudit.plans.tables import lettered_code, part_code, supplier_code
 
 LINES = "bill_id int, line_no long, code string, description string, quantity int, billed_amount double, service_date string"
 
@@ -179,6 +179,19 @@ def test_codes_of_keys_are_lossless(spark):
     assert len(set(codes)) == len(codes) and all(re.fullmatch("[A-Z0-9]{5}", code) for code in codes)
 
 
+def test_unknown_codes_have_no_last_key(spark):
+    keys = [0, 9_999, 10_000, 1_223_055, 1_223_056, 7_199_999, 44_893_071, 44_893_072, 3_000_000_000]
+    made = spark.createDataFrame([(key,) for key in keys], "key long").select("key", lettered_code("X", F.col("key")).alias("code"))
+    codes = {r.key: r.code for r in made.collect()}
+    assert codes[9_999] == "X9999" and codes[10_000] == "XA000" and codes[1_223_055] == "XZZZZ"
+    assert codes[1_223_056] == "XA0000" and codes[44_893_071] == "XZZZZZ" and codes[44_893_072] == "XA00000"
+    assert len(set(codes.values())) == len(keys)
+    # The catalog has no room for a sixth sign: such a supplier's code would be dropped from it.
+    beyond = spark.createDataFrame([(1_223_056,)], "key long").select(supplier_code(F.col("key")))
+    with pytest.raises(Exception, match="beyond the range"):
+        beyond.collect()
+
+
 def test_quantity_of_zero_is_not_judged_per_unit(spark):
     lines = spark.createDataFrame(
         [(1, 1, "99213", "Visit", 0, 500.0, "01/02/2024")],
