@@ -92,12 +92,12 @@ def audit_bills(
     ]
     findings = materialise(detect_anomalies(audited, catalog, pairs, upcoded=similar[0], uncoded=similar[1]))
     summary = bill_summary(findings, audited)
-    letter_rows = letters(findings, sizes=audited)
+    letter_rows = letters(findings, sizes=audited, keep_findings=True)
     return Audit(
         routed,
         lookups,
         findings,
         summary,
-        letter_rows,
+        letter_rows.drop("anomalies"),
         to_documents(findings, summary, letter_rows),
     )

@@ -14,7 +14,9 @@ from chargeaudit import constants as c
 from chargeaudit.functions.text import fixed, round_exact, usd
 from chargeaudit.operators.catalog import resolve_column, resolve_columns
 from chargeaudit.operators.densesearch import search_probed
-from chargeaudit.operators.report import check_documents, document_rows, letter_citations
+from chargeaudit.operators.report import check_documents, document_rows, letter_citations, letters, to_documents
+from chargeaudit.operators.rules import with_explanations
+from chargeaudit.operators.summary import bill_summary
 from chargeaudit.operators.similarity import search_similar
 
 
@@ -129,6 +131,30 @@ def test_documents_that_read_back_are_sound_and_parsed_once(spark):
     assert plan.count("parseJson") == 1
 
 
+def test_letters_bring_their_findings_to_the_documents(spark):
+    rng = random.Random(5)
+    kinds = ["price_overcharge", "unknown_code", "duplicate_charge", "unbundling"]
+    rows = [
+        (rng.randrange(9), n, rng.choice(["99213", " a1 ", None, ""]), rng.choice(["visit", None]), 1, rng.choice([10.5, None]), rng.choice(["01/02/2024", None]),
+         rng.choice(kinds), rng.choice(["high", "medium", "low", "info", None]), 2.0, 3.5, rng.choice(["x", None]))
+        for n in range(300)
+    ]
+    findings = with_explanations(spark.createDataFrame(
+        rows,
+        "bill_id long, line_no long, code string, description string, quantity long, billed_amount double, service_date string, "
+        "anomaly_type string, severity string, medicare_reference_price double, overcharge_ratio double, related string",
+    ))
+    lines = findings.select("bill_id", "billed_amount").unionByName(spark.createDataFrame([(99, 1.0)], "bill_id long, billed_amount double"))
+    summary = bill_summary(findings, lines)
+    plain, kept = (letters(findings, per_part=7, keep_findings=keep) for keep in (False, True))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, kept.drop("anomalies").collect()))
+    matched, brought = (to_documents(findings, summary, rows, per_part=7) for rows in (plain, kept))
+    assert brought.count() > 40 and sorted(map(str, matched.collect())) == sorted(map(str, brought.collect()))
+    # Numbered once, and not shuffled again to meet.
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (matched, brought)]
+    assert [plan.count("row_number()") for plan in plans] == [2, 1]
+
+
 def _frame(spark, key, vectors):
     rows = pd.DataFrame({key: [f"c{n:05d}" for n in range(len(vectors))], "embedding": list(vectors)})
     return spark.createDataFrame(rows, f"{key} string, embedding array<double>")
