@@ -4,7 +4,9 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from chargeaudit.operators.rules import duplicate_charges
 from chargeaudit.plans.queries import QUERIES
@@ -49,6 +51,47 @@ def test_duplicates_with_state_equal_batch_however_lines_arrive(spark, tmp_path)
     assert sorted(map(str, ours.collect())) == sorted(map(str, expected.collect()))
 
 
+def test_state_takes_lines_by_the_batch():
+    class State(list):
+        def appendList(self, entries):
+            self.extend(entries)
+
+        def put(self, entries):
+            self[:] = entries
+
+        def get(self):
+            return iter(self)
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, []
+
+        def getListState(self, name, schema):
+            return self.states.setdefault(name, State())
+
+        def getValueState(self, name, schema):
+            return type("Value", (), {"exists": lambda self: False, "update": lambda self, value: None})()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    rows = [(n % 40, n % 900, "AB"[n % 2], n, n, None, 1, 1.0, "d") for n in range(25_000)]
+    names = ["day_number", "patient_id", "code", "bill_id", "line_no", "description", "quantity", "billed_amount", "service_date"]
+    schema = StructType([StructField(name, StringType() if name in ("code", "description", "service_date") else LongType()) for name in names])
+    handle, job = Handle(), jobs.ChargedDays(schema, ["patient_id", "code"], ["bill_id", "line_no"], 1)
+    job.init(handle)
+    list(job.handleInputRows(None, iter([pd.DataFrame(rows, columns=names)]), None))
+    assert len(handle.states["open"]) == 3 and handle.timers == [jobs.ChargedDays.DAY]
+    watermark = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 30 * jobs.ChargedDays.DAY})()
+    (found,) = job.handleExpiredTimer(None, watermark, None)
+    firsts = {}
+    for row in rows:
+        firsts.setdefault(row[:3], row[4])
+    assert sorted(found["line_no"][found["later"]]) == [r[4] for r in rows if r[0] < 30 and firsts[r[:3]] != r[4]]
+    assert len(handle.states["open"]) == 1 and handle.timers[-1] == 31 * jobs.ChargedDays.DAY
+    assert list(found.columns) == [*names[1:], "later", "related_day"]
+
+
 def test_sinks_commit_once_and_count(spark, tmp_path):
     texts = [(1, "call 555-123-4567 now"), (2, "nothing"), (3, "seen on 01/02/2024 mail a@b.co"), (4, None), (5, "mail c@d.org and e@f.org")]
     docs = spark.createDataFrame(texts, "doc_id int, text string")
