@@ -13,7 +13,7 @@ k Nearest Neighbor Joins using MapReduce", VLDB 2012.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,9 @@ PACK_BLOCKS = 4         # blocks of codes that a pack of cells holds at most
 TASK_SCORES = 1 << 26   # scores that are worth a task of their own
 DEAL_ROWS = 512         # queries that are dealt to packs at a time
 FOUND_ROWS = 1_000_000  # matches a task holds before it keeps the best of them
-BLOCK_SCORES = 1 << 20  # scores a task holds at a time, 8 MB
+BLOCK_SCORES = 1 << 20  # scores a task holds at a time, 4 MB
+PIECE_CODES = 512       # codes that a block of queries is compared with at a time
+EXACT_ROWS = 1 << 14    # pairs that are scored in double precision at a time
 # Scores that differ by less are ties and go to the smaller code.
 TIE_DIGITS = 9
 
@@ -125,6 +127,7 @@ def block_kernels(k: int, digits: int = TIE_DIGITS, scores: int = BLOCK_SCORES):
     Local functions, so that the workers get them along with the task. At most ``scores`` scores
     are held at a time, whatever the sizes of the two blocks.
     """
+    nearest = nearest_kernel(k, digits, scores)
 
     def stack(vectors: pd.Series) -> np.ndarray:
         """Rows of unit length."""
@@ -134,27 +137,89 @@ def block_kernels(k: int, digits: int = TIE_DIGITS, scores: int = BLOCK_SCORES):
 
     def match(ids: np.ndarray, queries: np.ndarray, codes: np.ndarray, units: np.ndarray) -> pd.DataFrame:
         """The best ``k`` codes of every query of a block."""
-        keep = min(k, len(codes))
-        rows = max(1, scores // len(codes))
-        found = []
-        for start in range(0, len(ids), rows):
-            sims = queries[start : start + rows] @ units.T
-            np.round(sims, digits, out=sims)
-            kth = np.partition(sims, len(codes) - keep, axis=1)[:, len(codes) - keep]
-            row, col = np.nonzero(sims >= kth[:, None])
-            found.append(
-                pd.DataFrame(
-                    {"query_id": ids[start + row], "code": codes[col], "similarity": sims[row, col]}
-                )
-            )
-        best = pd.concat(found).sort_values(
-            ["query_id", "similarity", "code"], ascending=[True, False, True], kind="stable"
-        )
-        return best.groupby("query_id", sort=False).head(keep)
+        row, at, similarity = nearest(queries, units, codes, [(np.arange(len(ids)), 0, len(codes))])
+        return pd.DataFrame({"query_id": ids[row], "code": codes[at], "similarity": similarity})
 
     return stack, match
 
 
+def nearest_kernel(k: int, digits: int = TIE_DIGITS, scores: int = BLOCK_SCORES):
+    """A function that finds the best ``k`` codes of every query, of the codes that the query visits.
+
+    All scores are taken in single precision, which only tells what can't be among the best: below
+    the ``k``-th best so far by more than such a score errs. The few others are scored again in
+    double precision, rounded and ranked.
+    """
+
+    def first_of_row(row: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs in ``order`` the first ``k`` of each row, and their places."""
+        sorted_row = row[order]
+        starts = np.flatnonzero(np.diff(sorted_row, prepend=-1))
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order)))
+        return order[place < k], place[place < k]
+
+    def nearest(
+        queries: np.ndarray, units: np.ndarray, codes: np.ndarray, visits: Iterable[tuple[np.ndarray, int, int]]
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of ``queries`` and of ``units``, and their similarity.
+
+        A visit is rows of ``queries``, and where the codes that they are compared with start and
+        stop. Rows of both have unit length.
+        """
+        rank = np.unique(codes, return_inverse=True)[1]
+        short_queries, short_units = queries.astype("float32"), units.astype("float32")
+        # Rounding both vectors, each product and each sum errs by half a last place of 24 bits.
+        slack = (queries.shape[1] + 8) * 2.0**-23 + 10.0**-digits
+        best = np.full((len(queries), k), -np.inf)
+        found, held = [], 0
+
+        def compare(asking: np.ndarray, start: int, stop: int, asked: np.ndarray) -> None:
+            nonlocal held
+            bar = best[asking].min(axis=1)
+            sims = asked @ short_units[start:stop].T
+            if stop - start > k and np.isneginf(bar).any():
+                bar = np.maximum(bar, np.partition(sims, stop - start - k, axis=1)[:, stop - start - k])
+            row, col = np.divmod(np.flatnonzero(sims >= (bar - slack)[:, None].astype("float32")), stop - start)
+            if not len(row):
+                return
+            exact = np.empty(len(row))
+            for at in range(0, len(row), EXACT_ROWS):
+                part = slice(at, at + EXACT_ROWS)
+                exact[part] = np.einsum("ij,ij->i", queries[asking[row[part]]], units[start + col[part]])
+            np.round(exact, digits, out=exact)
+            kept, place = first_of_row(row, np.lexsort((rank[start + col], -exact, row)))
+            row, col, exact = row[kept], start + col[kept], exact[kept]
+            own = np.full((len(asking), k), -np.inf)
+            own[row, place] = exact
+            touched = np.unique(row)
+            both = np.concatenate([best[asking[touched]], own[touched]], axis=1)
+            best[asking[touched]] = np.partition(both, k, axis=1)[:, k:]
+            wanted = exact >= best[asking[row], 0:k].min(axis=1)
+            found.append((asking[row[wanted]], col[wanted], exact[wanted]))
+            held += int(wanted.sum())
+
+        def pruned() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            row, at, exact = (np.concatenate(parts) for parts in zip(*found, strict=True))
+            good = np.flatnonzero(exact >= best[row].min(axis=1))
+            row, at, exact = row[good], at[good], exact[good]
+            kept, _ = first_of_row(row, np.lexsort((rank[at], -exact, row)))
+            return row[kept], at[kept], exact[kept]
+
+        rows = max(1, scores // PIECE_CODES)
+        for asking, start, stop in visits:
+            for first in range(0, len(asking), rows):
+                block = asking[first : first + rows]
+                asked = short_queries[block]
+                for piece in range(start, stop, PIECE_CODES):
+                    compare(block, piece, min(piece + PIECE_CODES, stop), asked)
+            if held > max(FOUND_ROWS, 2 * k * len(queries)):
+                found = [pruned()]
+                held = len(found[0][0])
+        return pruned() if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    return nearest
+
+
 def _search_one_block(queries: DataFrame, codes: pd.DataFrame, k: int, schema: T.StructType) -> DataFrame:
     """Catalog of at most one block: it travels with the tasks."""
     stack, match = block_kernels(k)
@@ -203,7 +268,8 @@ def compare_packs(
     cells there, and is compared with the codes of these cells only. So what is shuffled follows
     from the number of packs and not from the number of cells.
     """
-    stack, match = block_kernels(k)
+    stack, _ = block_kernels(k)
+    nearest = nearest_kernel(k)
     spark = visits.sparkSession
     if sizes.empty:
         return spark.createDataFrame([], schema)
@@ -239,27 +305,20 @@ def compare_packs(
                     dealt = batch.iloc[row[first]].reset_index(drop=True)
                     yield dealt.assign(cells=lists, pack=pack[first].astype("int32"))
 
-    def best_of(found: list[pd.DataFrame]) -> pd.DataFrame:
-        best = pd.concat(found).sort_values(["query_id", "similarity", "code"], ascending=[True, False, True], kind="stable")
-        return best.groupby("query_id", sort=False).head(k)
-
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        found, held = [pd.DataFrame({"query_id": [], "code": [], "similarity": []})], 0
         if not len(mine) or not len(theirs):
-            return found[0]
-        ids, units = mine["query_id"].to_numpy(), stack(mine["vector"])
+            return pd.DataFrame({"query_id": [], "code": [], "similarity": []})
         row = np.repeat(np.arange(len(mine)), mine["cells"].map(len))
         cell = np.concatenate(mine["cells"].to_numpy())
         order = np.argsort(cell, kind="stable")
         row, cell = row[order], cell[order]
-        for number, own in theirs.groupby("_cell"):
-            asking = row[np.searchsorted(cell, number) : np.searchsorted(cell, number, "right")]
-            if len(asking):
-                best = match(ids[asking], units[asking], own["code"].to_numpy(), stack(own["_vector"]))
-                found, held = [*found, best] if held else [best], held + len(best)
-            if held > FOUND_ROWS:
-                found, held = [best_of(found)], 1
-        return best_of(found) if held else found[0]
+        theirs = theirs.sort_values("_cell", kind="stable")
+        numbers, starts = np.unique(theirs["_cell"].to_numpy(), return_index=True)
+        asked = [row[np.searchsorted(cell, n) : np.searchsorted(cell, n, "right")] for n in numbers]
+        visits = zip(asked, starts, [*starts[1:], len(theirs)], strict=True)
+        codes = theirs["code"].to_numpy()
+        row, at, similarity = nearest(stack(mine["vector"]), stack(theirs["_vector"]), codes, visits)
+        return pd.DataFrame({"query_id": mine["query_id"].to_numpy()[row], "code": codes[at], "similarity": similarity})
 
     left = (
         visits.select("query_id", "vector", "cells")

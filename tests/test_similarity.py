@@ -89,6 +89,29 @@ def test_a_block_holds_a_bounded_number_of_scores():
     assert len(found) == 3 * len(queries) and peak < 64e6
 
 
+def test_few_scores_take_double_precision(monkeypatch):
+    rng = np.random.default_rng(9)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    centres = rng.normal(size=(60, 16))
+    # Codes nearer to each other than single precision tells, and equal ones that go by name.
+    codes = unit(np.vstack([np.repeat(centres, 30, axis=0) + rng.normal(size=(1800, 16)) * 1e-8, np.repeat(centres[:9], 9, axis=0), rng.normal(size=(700, 16))]))
+    queries = unit(np.vstack([centres + rng.normal(size=(60, 16)) * 0.01, rng.normal(size=(90, 16))]))
+    names = np.array([f"{n:05d}" for n in rng.permutation(len(codes))], dtype=object)
+    scored, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, one, two: scored.append(len(one)) or einsum(how, one, two))
+    row, at, scores = similarity.nearest_kernel(4, scores=1 << 14)(
+        queries, codes, names, [(np.arange(len(queries)), 0, 1000), (np.arange(len(queries))[::2], 1000, 2300), (np.arange(len(queries)), 2300, len(codes))]
+    )
+    assert sum(scored) < 0.1 * len(queries) * len(codes)
+    for q in range(len(queries)):
+        seen = [n for n in range(len(codes)) if q % 2 == 0 or not 1000 <= n < 2300]
+        exact = {n: round(float(queries[q] @ codes[n]), 9) for n in seen}
+        wanted = sorted(seen, key=lambda n: (-exact[n], names[n]))[:4]
+        assert np.allclose(sorted(scores[row == q], reverse=True), [exact[n] for n in wanted], atol=2e-9)
+        if exact[wanted[-1]] - max(exact[n] for n in seen if n not in wanted) > 2e-9:
+            assert set(at[row == q]) == set(wanted)
+
+
 def test_a_large_catalog_with_copies_is_computed_once(spark):
     rng = np.random.default_rng(5)
     queries, codes = rng.normal(size=(12, 6)), np.repeat(rng.normal(size=(20, 6)), 4, axis=0)
