@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,13 +112,33 @@ def usable_vectors(df: DataFrame, key: str, vector: str, name: str) -> DataFrame
 
 
 def first_copies(codes: DataFrame, k: int) -> DataFrame:
-    """Of the codes with the very same ``vector`` the first ``k``.
+    """Of the codes with the very same ``vector`` the first ``k``, each with the first one as ``leader``.
 
-    Equal vectors are told by two 64-bit hashes with seeds of their own: sorting by the vectors
-    themselves compares number by number, and copies to the last one.
+    Only leaders keep their vector. Equal vectors are told by two 64-bit hashes with seeds of their
+    own: sorting by the vectors themselves compares number by number, and copies to the last one.
     """
+    hashes = ["_one", "_two"]
     hashed = codes.withColumn("_one", F.xxhash64("vector")).withColumn("_two", F.xxhash64(F.lit(1), "vector"))
-    return top_per_key(hashed, ["_one", "_two"], ["code"], k, "_copy").select(*codes.columns)
+    leader = F.min("code").over(Window.partitionBy(*hashes))
+    return (
+        top_per_key(hashed, hashes, ["code"], k, "_copy")
+        .withColumn("leader", leader)
+        .select("code", F.when(F.col("_copy") == 1, F.col("vector")).alias("vector"), "leader")
+    )
+
+
+def with_copies(found: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` codes of every query out of its best leaders ``found(query_id, code, similarity, rank)``.
+
+    Codes of one vector have one similarity, so that the ``k`` best codes are among those of the
+    ``k`` best leaders. ``copies(leader, code)`` has the others, at most ``k - 1`` of a leader.
+    """
+    if copies.isEmpty():
+        return found
+    others = copies.groupBy("leader").agg(F.collect_list("code").alias("_others"))
+    every = F.concat(F.array("code"), F.coalesce("_others", F.array().cast(others.schema["_others"].dataType)))
+    all_of = found.join(others, F.col("code") == F.col("leader"), "left").select("query_id", "similarity", F.explode(every).alias("code"))
+    return top_per_key(all_of, ["query_id"], [F.desc("similarity"), "code"], k, "rank")
 
 
 def block_kernels(k: int, digits: int = TIE_DIGITS, scores: int = BLOCK_SCORES):
@@ -434,9 +454,11 @@ def search_similar(
     """
     k = max(1, k if max_k is None else min(k, max_k))
     wanted = usable_vectors(queries, query_key, query_vector, "query_id")
-    # Of several codes with the very same vector only the first k can be found. Written once: the
-    # look at the first rows needs all of it already.
-    known = materialise(first_copies(usable_vectors(catalog, catalog_key, catalog_vector, "code"), k))
+    # Of several codes with the very same vector only the first k can be found, and one of them is
+    # searched. Written once: the look at the first rows needs all of it already.
+    coded = materialise(first_copies(usable_vectors(catalog, catalog_key, catalog_vector, "code"), k))
+    known = coded.where("vector is not null").select("code", "vector")
+    copies = coded.where("vector is null").select("leader", "code")
     schema = T.StructType(
         [
             wanted.schema["query_id"],
@@ -452,7 +474,7 @@ def search_similar(
     else:
         # The queries are read several times from here on.
         found = _search_cells(materialise(wanted), known, known.count(), k, schema, block_rows)
-    ranked = top_per_key(found, ["query_id"], [F.desc("similarity"), "code"], k, "rank")
+    ranked = with_copies(top_per_key(found, ["query_id"], [F.desc("similarity"), "code"], k, "rank"), copies, k)
     return ranked.select("query_id", "code", score(F.col("similarity")).alias("similarity_score"), "rank")
 
 

@@ -112,6 +112,19 @@ def test_few_scores_take_double_precision(monkeypatch):
             assert set(at[row == q]) == set(wanted)
 
 
+def test_copies_are_not_searched(spark):
+    rng = np.random.default_rng(8)
+    queries, distinct = rng.normal(size=(15, 5)), rng.normal(size=(9, 5))
+    codes = np.repeat(distinct, 7, axis=0)
+    catalog = _frame(spark, "code", codes)
+    coded = similarity.first_copies(similarity.usable_vectors(catalog.unionByName(catalog), "code", "embedding", "code"), 4)
+    kept = coded.toPandas()
+    assert len(kept) == 9 * 4 and kept["vector"].notna().sum() == kept["leader"].nunique() == 9
+    for block_rows in (4, 1000):
+        found = search_similar(_frame(spark, "query_id", queries), catalog, k=6, block_rows=block_rows)
+        assert {(r.query_id, r.code, r["rank"]) for r in found.collect()} == _brute(queries, codes, 6)
+
+
 def test_a_large_catalog_with_copies_is_computed_once(spark):
     rng = np.random.default_rng(5)
     queries, codes = rng.normal(size=(12, 6)), np.repeat(rng.normal(size=(20, 6)), 4, axis=0)
