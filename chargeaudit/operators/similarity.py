@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from chargeaudit import constants as c
 from chargeaudit.functions.text import is_blank, normalise_code, ws_trim
-from chargeaudit.functions.vectors import cosine, score
+from chargeaudit.functions.vectors import score
 from chargeaudit.operators.lookup import RECORD
 from chargeaudit.operators.numbering import top_per_key
 from chargeaudit.operators.rules import FINDING, LINE, finding_columns
@@ -43,6 +43,8 @@ FOUND_ROWS = 1_000_000  # matches a task holds before it keeps the best of them
 BLOCK_SCORES = 1 << 20  # scores a task holds at a time, 4 MB
 PIECE_CODES = 512       # codes that a block of queries is compared with at a time
 EXACT_ROWS = 1 << 14    # pairs that are scored in double precision at a time
+CELL_VECTORS = 1 << 16  # codes, and texts, of a cell of the grid of charged pairs
+CELL_PAIRS = 1 << 19    # pairs of a cell
 # Scores that differ by less are ties and go to the smaller code.
 TIE_DIGITS = 9
 
@@ -524,6 +526,69 @@ def unresolved_descriptions(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def _grid(n_pairs: int, n_codes: int, n_texts: int, tasks: int) -> tuple[int, int]:
+    """Rows (of codes) and columns (of texts) of a grid whose cells hold a bounded number of pairs and vectors.
+
+    Of all such grids one that needs few copies of the vectors: a code goes to each column, a text to each row.
+    """
+    rows, columns = math.ceil(n_codes / CELL_VECTORS), math.ceil(n_texts / CELL_VECTORS)
+    cells = max(tasks, math.ceil(n_pairs / CELL_PAIRS))
+    columns = max(1, columns, min(n_texts, round(math.sqrt(cells * n_texts / max(1, n_codes)))))
+    return max(1, rows, math.ceil(cells / columns)), columns
+
+
+def own_scores(pairs: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(code, text_id, price, own_score) of all ``pairs(code, text_id)`` with a known code.
+
+    ``texts(text_id, embedding)``; ``known(code, embedding, price)``. No vector travels with a pair:
+    pairs are dealt by code and text to the cells of a grid, and a vector goes once to each cell of
+    its row or column.
+    """
+    tasks = 2 * pairs.sparkSession.sparkContext.defaultParallelism
+    rows, columns = _grid(pairs.count(), known.count(), texts.count(), tasks)
+
+    def dealt(column: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+
+    def every(parts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    text_key = F.col("text_id").cast("string")
+    asked = pairs.select(dealt("code", rows).alias("row"), dealt("text_id", columns).alias("column"), "code", "text_id", text_key.alias("_text"))
+    # Vectors of both kinds in one table: a text has no price and another flag.
+    vectors = known.select(
+        dealt("code", rows).alias("_row"), every(columns).alias("_column"), F.lit(True).alias("_is_code"), F.col("code").alias("_key"), "embedding", "price"
+    ).unionByName(
+        texts.select(
+            every(rows).alias("_row"), dealt("text_id", columns).alias("_column"), F.lit(False).alias("_is_code"), text_key.alias("_key"),
+            "embedding", F.lit(None).cast(known.schema["price"].dataType).alias("price"),
+        )
+    )
+    schema = T.StructType([pairs.schema["code"], pairs.schema["text_id"], known.schema["price"], T.StructField("cosine", T.DoubleType())])
+    step = EXACT_ROWS
+
+    def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        is_code = theirs["_is_code"].to_numpy(dtype=bool)
+        theirs = theirs.assign(_at=np.arange(len(theirs)))
+        found = mine.merge(theirs.loc[is_code, ["_key", "price", "_at"]], left_on="code", right_on="_key").merge(
+            theirs.loc[~is_code, ["_key", "_at"]], left_on="_text", right_on="_key", suffixes=("", "_of_text")
+        )
+        if not len(found):
+            return pd.DataFrame({name: [] for name in schema.names})
+        matrix = np.stack(theirs["embedding"].to_numpy())
+        one, two, cosine = found["_at"].to_numpy(), found["_at_of_text"].to_numpy(), np.empty(len(found))
+        for start in range(0, len(found), step):
+            part = slice(start, start + step)
+            a, b = matrix[one[part]].astype("float64"), matrix[two[part]].astype("float64")
+            lengths = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
+            # No direction, no similarity: such a pair comes back with a null.
+            cosine[part] = np.divide(np.einsum("ij,ij->i", a, b), lengths, out=np.full(len(a), np.nan), where=lengths > 0)
+        return found.assign(cosine=cosine)[schema.names]
+
+    scored = asked.groupBy("row", "column").cogroup(vectors.groupBy("_row", "_column")).applyInPandas(compare, schema)
+    return scored.select("code", "text_id", "price", score(F.col("cosine")).alias("own_score"))
+
+
 def cheaper_fits(
     charges: DataFrame, catalog: DataFrame, margin: float = 0.05, k: int = c.DEFAULT_TOP_K
 ) -> DataFrame:
@@ -534,8 +599,8 @@ def cheaper_fits(
     the ``k`` most similar ones is kept when it beats the billed code's own
     similarity by ``margin``. Every distinct text is searched once.
     """
-    pairs = charges.select("code", "text_id").distinct()
-    texts = charges.select("text_id", "embedding").dropDuplicates(["text_id"])
+    pairs = materialise(charges.select("code", "text_id").distinct())
+    texts = materialise(charges.select("text_id", "embedding").dropDuplicates(["text_id"]))
     priced = catalog.where("has_price_data").select(
         "code", "embedding", F.col("medicare_reference_price").alias("price")
     )
@@ -545,16 +610,7 @@ def cheaper_fits(
     offers = near.join(
         priced.select(F.col("code").alias("other_code"), F.col("price").alias("other_price")), "other_code"
     )
-    own = (
-        pairs.join(texts, "text_id")
-        .join(priced.withColumnRenamed("embedding", "_known"), "code")
-        .select(
-            "code",
-            "text_id",
-            "price",
-            score(cosine(F.col("embedding"), F.col("_known"))).alias("own_score"),
-        )
-    )
+    own = own_scores(pairs, texts, priced)
     better = own.join(offers, "text_id").where(
         (F.col("other_price") < F.col("price"))
         & (F.round(F.col("similarity_score") - F.col("own_score"), 4) >= margin)

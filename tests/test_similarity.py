@@ -3,10 +3,12 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chargeaudit.constants import MAX_TOP_K
 from chargeaudit.operators.similarity import resolve_lines, search_similar, unresolved_descriptions
+from chargeaudit.functions.vectors import cosine, score
 from chargeaudit.operators import similarity
 
 
@@ -112,6 +114,25 @@ def test_few_scores_take_double_precision(monkeypatch):
             assert set(at[row == q]) == set(wanted)
 
 
+def test_vectors_do_not_travel_with_the_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    known = _frame(spark, "code", np.vstack([rng.normal(size=(70, 5)), np.zeros((1, 5))])).withColumn("price", F.lit(2.5))
+    texts = _frame(spark, "text", rng.normal(size=(30, 5))).select(F.substring("text", 2, 9).cast("long").alias("text_id"), "embedding")
+    pairs = known.select("code").crossJoin(texts.select("text_id")).where(F.xxhash64("code", "text_id") % 3 != 0)
+    pairs = pairs.unionByName(spark.createDataFrame([("unknown", 1)], "code string, text_id long"))
+    plain = pairs.join(texts, "text_id").join(known.withColumnRenamed("embedding", "_known"), "code").select(
+        "code", "text_id", "price", score(cosine(F.col("embedding"), F.col("_known"))).alias("own_score")
+    )
+    for bounds in ((1 << 16, 1 << 19), (16, 100)):
+        monkeypatch.setattr(similarity, "CELL_VECTORS", bounds[0])
+        monkeypatch.setattr(similarity, "CELL_PAIRS", bounds[1])
+        ours = similarity.own_scores(pairs, texts, known)
+        assert sorted(map(str, ours.collect())) == sorted(map(str, plain.collect())) and ours.where("own_score is null").count() > 5
+    # A billion pairs: 10,000 cells of 100, and few copies of the vectors: each of them less than a thousand times.
+    rows, columns = similarity._grid(10**9 // 100_000, 10**6 // 1000, 100, 24)
+    assert rows * columns >= 100 and rows >= 1000 // 16 and columns >= 100 // 16 and max(rows, columns) < 1000
+
+
 def test_copies_are_not_searched(spark):
     rng = np.random.default_rng(8)
     queries, distinct = rng.normal(size=(15, 5)), rng.normal(size=(9, 5))
