@@ -98,7 +98,8 @@ def candidate_codes_of_pages(
     """The same for bills that are spread over rows, read in ``order``.
 
     Every row is reduced to its own distinct codes and every bill to its
-    distinct codes before anything is ranked.
+    distinct codes before anything is ranked. Of codes that rows of equal
+    ``order`` name at the same place the smaller one comes first.
     """
     found = pages.select(
         key,
@@ -107,9 +108,9 @@ def candidate_codes_of_pages(
     )
     first = found.groupBy(key, "code").agg(F.min(F.struct("_page", "_at")).alias("_first"))
     if limit is None:  # the shape of a code bounds the distinct ones of a bill
-        place = F.row_number().over(Window.partitionBy(key).orderBy("_first"))
+        place = F.row_number().over(Window.partitionBy(key).orderBy("_first", "code"))
         return first.withColumn("position", place).drop("_first")
-    return top_per_key(first, [key], ["_first"], limit, "position").drop("_first")
+    return top_per_key(first, [key], ["_first", "code"], limit, "position").drop("_first")
 
 
 def bill_texts(

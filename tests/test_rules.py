@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chargeaudit.operators import lookup, rules, summary
 from chargeaudit.operators.catalog import with_document
+from chargeaudit.operators.extract import candidate_codes_of_pages
 from chargeaudit.operators.numbering import number_rows
 from chargeaudit.plans.tables import lettered_code, part_code, supplier_code
 
@@ -179,6 +180,19 @@ def test_codes_of_keys_are_lossless(spark):
     assert len(set(codes)) == len(codes) and all(re.fullmatch("[A-Z0-9]{5}", code) for code in codes)
 
 
+def test_codes_of_equal_rows_have_one_order(spark):
+    codes = [f"{n * 7919 % 90_000 + 10_000}" for n in range(30)]
+    rows = spark.createDataFrame([(1, 5, "99999"), *[(1, 7, code) for code in codes]], "bill_id long, line_no long, text string")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        for limit in (None, 12):
+            found = {r.position: r.code for r in candidate_codes_of_pages(rows, ["line_no"], limit=limit).collect()}
+            assert [found[n + 1] for n in range(len(found))] == ["99999", *sorted(codes)][:limit]
+    finally:
+        spark.conf.set(coalesce, "true")
+
+
 def test_unknown_codes_have_no_last_key(spark):
     keys = [0, 9_999, 10_000, 1_223_055, 1_223_056, 7_199_999, 44_893_071, 44_893_072, 3_000_000_000]
     made = spark.createDataFrame([(key,) for key in keys], "key long").select("key", lettered_code("X", F.col("key")).alias("code"))
