@@ -139,11 +139,12 @@ def test_letters_bring_their_findings_to_the_documents(spark):
          rng.choice(kinds), rng.choice(["high", "medium", "low", "info", None]), 2.0, 3.5, rng.choice(["x", None]))
         for n in range(300)
     ]
-    findings = with_explanations(spark.createDataFrame(
+    bare = spark.createDataFrame(
         rows,
         "bill_id long, line_no long, code string, description string, quantity long, billed_amount double, service_date string, "
         "anomaly_type string, severity string, medicare_reference_price double, overcharge_ratio double, related string",
-    ))
+    )
+    findings = with_explanations(bare)
     lines = findings.select("bill_id", "billed_amount").unionByName(spark.createDataFrame([(99, 1.0)], "bill_id long, billed_amount double"))
     summary = bill_summary(findings, lines)
     plain, kept = (letters(findings, per_part=7, keep_findings=keep) for keep in (False, True))
@@ -153,6 +154,9 @@ def test_letters_bring_their_findings_to_the_documents(spark):
     # Numbered once, and not shuffled again to meet.
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (matched, brought)]
     assert [plan.count("row_number()") for plan in plans] == [2, 1]
+    # Words follow from the other columns: they are made when the findings are numbered.
+    late = letters(bare, per_part=7, keep_findings=True)
+    assert sorted(map(str, to_documents(bare, summary, late, per_part=7).collect())) == sorted(map(str, brought.collect()))
 
 
 def _frame(spark, key, vectors):
